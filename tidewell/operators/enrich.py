@@ -99,7 +99,7 @@ def validate(frame: DataFrame, spec: DomainSpec) -> DataFrame:
     return frame.withColumn("rule_error", first_failure(spec.rules(record_of(frame))))
 
 
-def clean_record(frame: DataFrame, spec: DomainSpec, exact: bool = True) -> DataFrame:
+def clean_record(frame: DataFrame, spec: DomainSpec) -> DataFrame:
     """Add ``clean_<field>`` and ``clean_error``.
 
     A field with policy ``if_tagged`` is touched only when it holds a tag.
@@ -117,7 +117,7 @@ def clean_record(frame: DataFrame, spec: DomainSpec, exact: bool = True) -> Data
         wanted[f"clean_{name}"] = F.when(need, value)
     asked = {f"_had_{n}": wanted[f"clean_{n}"].isNotNull() for n, _ in spec.cleaned}
     out = frame.withColumns({**wanted, **asked})
-    out = X.refine(out, wanted.keys(), exact) if wanted else out
+    out = X.refine(out, wanted.keys()) if wanted else out
     problems = [
         F.when(F.col(f"clean_{n}") == "", F.lit(f"{n} is empty after refinement")).when(
             F.col(f"clean_{n}").isNull() & F.col(f"_had_{n}"), F.lit(f"{n} cannot be read")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import payload as P
+from tidewell.functions.bind import bind
 from tidewell.functions.coerce import is_blank
 from tidewell.model import DomainSpec
 
@@ -25,8 +26,8 @@ def parse_feed(feed: DataFrame, spec: DomainSpec, keep: tuple[str, ...] = ()) ->
     """
     raw = F.col("value").cast("string")
     text = feed.select(*keep, "partition", "offset", raw.alias("payload_json"))
-    opened = text.withColumn("_all", P.envelope(F.col("payload_json")))
-    body = opened.withColumn("_body", P.strict_object(F.col("payload_json"), F.col("_all")))
+    opened = bind(text, "_all", P.envelope(F.col("payload_json")))
+    body = bind(opened, "_body", P.strict_object(F.col("payload_json"), F.col("_all")))
     payload = F.col("_body")
     entity = F.try_variant_get(payload, f"$.{spec.id_field}", "string")
     return body.select(

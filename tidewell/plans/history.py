@@ -17,7 +17,7 @@ def epoch_winners(feed: DataFrame, spec: DomainSpec, epoch: str = "epoch_id") ->
     return latest_per_key(usable(parse_feed(feed, spec, keep=(epoch,))), spec, by=(epoch,))
 
 
-def judged_source(source: DataFrame, spec: DomainSpec, exact: bool = True) -> DataFrame:
+def judged_source(source: DataFrame, spec: DomainSpec) -> DataFrame:
     """Each source record once: errors and cleaned text, whatever events ask for it."""
     columns = source.columns
     error = F.lit(None).cast("string")
@@ -28,7 +28,7 @@ def judged_source(source: DataFrame, spec: DomainSpec, exact: bool = True) -> Da
     named = source.select(
         F.col("lookup_id").alias(spec.id_field), "record", error.alias("lookup_error")
     )
-    return enrich.clean_record(enrich.validate(named, spec), spec, exact)
+    return enrich.clean_record(enrich.validate(named, spec), spec)
 
 
 def good(judged: DataFrame) -> DataFrame:
@@ -53,7 +53,6 @@ def gold_state(
     source: DataFrame,
     spec: DomainSpec,
     epoch: str = "epoch_id",
-    exact: bool = True,
 ) -> DataFrame:
     """Schema C rows the lake ends with after all epochs.
 
@@ -68,7 +67,7 @@ def gold_state(
     last = final_state(winners, spec, epoch)
     wanted = last.select(F.col(spec.id_field).alias("lookup_id"))
     records = source.join(wanted, "lookup_id", "left_semi")
-    found = last.join(good(judged_source(records, spec, exact)), spec.id_field)
+    found = last.join(good(judged_source(records, spec)), spec.id_field)
     return enrich.to_canonical(found, spec)
 
 
@@ -78,14 +77,13 @@ def stale_events(
     spec: DomainSpec,
     epoch: str = "epoch_id",
     block: int | None = None,
-    exact: bool = True,
 ) -> DataFrame:
     """Every upsert of the history the version check rejects, with its message.
 
     Only the ids of good records travel; see ``fold_versions`` for ``block``.
     """
     winners = epoch_winners(feed, spec, epoch)
-    judged = good(judged_source(source, spec, exact)).select(spec.id_field)
+    judged = good(judged_source(source, spec)).select(spec.id_field)
     ups = winners.where(F.col("action") == "UPSERT").join(judged, spec.id_field, "left_semi")
     history = ups.unionByName(winners.where(F.col("action") == "DELETE"))
     return stale_rows(fold_versions(history, spec, epoch, block))

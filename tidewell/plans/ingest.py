@@ -18,6 +18,7 @@ from tidewell.model import DomainSpec
 from tidewell.operators import enrich, outcomes
 from tidewell.operators.latest import latest_per_key
 from tidewell.operators.parse import parse_feed
+from tidewell.sources.storage import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -48,14 +49,13 @@ def judge(
     spec: DomainSpec,
     key: FieldKey,
     id_count: int | None = None,
-    exact: bool = True,
     seal_quarantine: bool = True,
 ) -> DataFrame:
     """Deletes pass as they are; upserts are looked up, validated, cleaned, projected, sealed."""
     looked_up = F.col("parse_error").isNull() & (F.col("action") == "UPSERT")
     asked = events.where(looked_up)
     found = enrich.lookup(asked, source, spec, id_count)
-    checked = enrich.clean_record(enrich.validate(found, spec), spec, exact)
+    checked = enrich.clean_record(enrich.validate(found, spec), spec)
     failed = F.coalesce("lookup_error", F.when(F.col("lookup_error").isNull(), F.col("rule_error")), "clean_error")
     record = enrich.record_of(checked)
     row_id = enrich.canonical_id(record, spec, F.col(spec.id_field))
@@ -129,14 +129,12 @@ def process(
     source: DataFrame,
     versions: DataFrame,
     key: FieldKey,
-    materialize: Callable[[DataFrame], DataFrame] = lambda df: df,
-    exact: bool = True,
+    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> Outputs:
-    """The whole batch as lazy frames.
+    """The whole batch; the outputs are frames over one written table of verdicts.
 
-    Pass ``materialize`` (``DataFrame.checkpoint``, or a table write and read)
-    when more than one output is used: it fixes the drawn nonces and spares the
-    second look at the source.
+    ``materialize`` fixes the drawn nonces and spares every output a second look
+    at the source.
     """
-    judged = judge(survivors(feed, spec), source, spec, key, exact=exact)
+    judged = judge(survivors(feed, spec), source, spec, key)
     return outputs_of(outcomes.settle(materialize(judged), versions, spec), spec)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.domains.mail import MAIL
 from tidewell.functions import text as X
+from tidewell.functions.bind import bind
 from tidewell.functions.coerce import collapse_space, iso_text
 from tidewell.functions.envelope import FieldKey, decrypt_fields, encrypt_fields
 from tidewell.operators import activity, enrich, fanout, merge, outcomes, parse, redrive, serving
@@ -56,15 +57,14 @@ def _event_body() -> Column:
     )
 
 
-def _as_contract(events: DataFrame, value: Column, *extra: Column) -> DataFrame:
-    return events.select(
+def _as_contract(events: DataFrame, value: Column) -> DataFrame:
+    return bind(events, "value_text", value).select(
         F.lit(None).cast("binary").alias("key"),
-        value.cast("binary").alias("value"),
+        F.col("value_text").cast("binary").alias("value"),
         F.lit(0).alias("partition"),
         F.col("event_id").alias("offset"),
         moment().alias("timestamp"),
         F.date_diff(moment().cast("date"), F.lit(EPOCH_ZERO).cast("date")).cast("bigint").alias("epoch_id"),
-        *extra,
     )
 
 

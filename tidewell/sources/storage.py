@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame once to the shared folder and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the frame once to the shared folder and go on from that table.
+
+    Computed once, kept when executors are lost, and readers still take only
+    the columns they need.
+    """
+    where = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def resolve_checkpoint(

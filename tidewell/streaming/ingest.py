@@ -34,7 +34,6 @@ def ingest_epoch(
     lake: Lake,
     key: FieldKey,
     epoch: int,
-    exact: bool = True,
 ) -> Outputs:
     """Run one epoch to the end: tables first, then dead letters, then notices.
 
@@ -45,7 +44,7 @@ def ingest_epoch(
     settled = None
     try:
         n = events.count()
-        staged = lake.stage(judge(events, source, spec, key, n, exact), "judged", epoch)
+        staged = lake.stage(judge(events, source, spec, key, n), "judged", epoch)
         settled = outcomes.settle(staged, lake.versions(epoch), spec, few=n <= BROADCAST_IDS)
         settled = settled.persist(StorageLevel.MEMORY_AND_DISK)
         out = outputs_of(settled, spec)
@@ -76,7 +75,6 @@ def run_ingest(
     checkpoint: str,
     trigger_seconds: int = TRIGGER_SECONDS,
     available_now: bool = False,
-    exact: bool = True,
 ) -> StreamingQuery:
     """Start the ingest of one domain.
 
@@ -91,7 +89,7 @@ def run_ingest(
         stream = session.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
         if stream not in base:
             base[stream] = lake.epoch_base(stream.replace("/", "_"))
-        ingest_epoch(spec, df, source(session), lake, key, base[stream] + batch_id, exact)
+        ingest_epoch(spec, df, source(session), lake, key, base[stream] + batch_id)
 
     writer = feed.writeStream.foreachBatch(batch).outputMode("update").queryName(f"{spec.name}-ingest")
     writer = writer.option("checkpointLocation", checkpoint)
