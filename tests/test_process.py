@@ -1,0 +1,188 @@
+"""V1-V11, T8, P9, J1-J3, D2, D4, D9, U1, U3, A3 and the whole batch."""
+
+import json
+from dataclasses import replace
+
+import pytest
+from helpers import feed, source, versions
+from pyspark.sql import functions as F
+
+from tidewell.domains.mail import MAIL
+from tidewell.functions.envelope import decrypt_fields
+from tidewell.operators import enrich
+from tidewell.operators.enrich import source_from_responses
+from tidewell.operators.versions import with_current_version
+from tidewell.plans.ingest import process
+
+
+def reasons(spark, records):
+    src = source(spark, records).withColumnRenamed("lookup_id", "mail_id")
+    rows = enrich.clean_record(enrich.validate(src, MAIL), MAIL).collect()
+    return {r.mail_id: r.rule_error or r.clean_error for r in rows}
+
+
+RULES = {
+    "ok": ({}, None),
+    "v1 null": ({"id": None}, "mail_id is required"),
+    "v1 blank": ({"id": "  "}, "mail_id is required"),
+    "v2": ({"title": "  "}, "title is required"),
+    "v3": ({"body": ""}, "body is required"),
+    "v4": ({"sender": None}, "sender is required"),
+    "v5": ({"sender": " bad "}, "invalid sender email:  bad "),
+    "v5 spaces pass": ({"sender": " a@x.example "}, None),
+    "v5 short": ({"sender": "a@x.e"}, "invalid sender email: a@x.e"),
+    "v6": ({"receiver": " "}, "receiver is required"),
+    "v7": ({"receiver": "b@y"}, "invalid receiver email: b@y"),
+    "v8 empty": ({"cc": ""}, None),
+    "v8 blank": ({"cc": " "}, "invalid cc email:  "),
+    "v8 list": ({"cc": "a@x.example, b@x.example"}, "invalid cc email: a@x.example, b@x.example"),
+    "v9": ({"sent_at": "2025"}, "invalid sent_at datetime: 2025"),
+    "v9 day": ({"sent_at": "2025-02-30"}, "invalid sent_at datetime: 2025-02-30"),
+    "v9 empty": ({"sent_at": ""}, None),
+    "two broken": ({"title": "", "sender": "x"}, "title is required"),
+    "t8 body": ({"body": "<p></p>"}, "body is empty after refinement"),
+    "t8 title": ({"title": "<p> </p>"}, "title is empty after refinement"),
+    "t8 unreadable": ({"body": "<![odd[x]]><b>y</b>"}, "body cannot be read"),
+}
+
+
+def test_v1_to_v9_and_t8(spark):
+    got = reasons(spark, {k: v[0] for k, v in RULES.items()})
+    assert got == {k: v[1] for k, v in RULES.items()}
+
+
+FLAGS = {
+    "null": (None, None, False), "true": (True, None, True), "false": (False, None, False),
+    "one": (1, None, False), "zero": (0, None, False), "two": (2, "read_yn must be boolean", None),
+    "text": ("true", "read_yn must be boolean", None), "float": (1.0, None, False),
+    "list": ([True], "read_yn must be boolean", None),
+}
+
+
+def test_v10_v11_flags_from_json(spark):
+    good = {"id": "1", "title": "t", "body": "b", "sender": "a@x.example", "receiver": "b@x.example"}
+    rows = [(k, json.dumps({"mail": {**good, "id": k, "read_yn": v[0]}})) for k, v in FLAGS.items()]
+    rows.append(("att", json.dumps({"mail": {**good, "has_attachment": "no"}})))
+    src = source_from_responses(spark.createDataFrame(rows, "lookup_id string, response string"), MAIL)
+    named = src.withColumnRenamed("lookup_id", "mail_id")
+    checked = enrich.clean_record(enrich.validate(named, MAIL), MAIL)
+    got = {r.mail_id: r.rule_error for r in checked.collect()}
+    assert got.pop("att") == "has_attachment must be boolean"
+    assert got == {k: v[1] for k, v in FLAGS.items()}
+    fixed = checked.withColumns({n: F.lit(None).cast("timestamp") for n in MAIL.event_fields})
+    rows = enrich.to_canonical(fixed.where("rule_error is null"), MAIL).collect()
+    assert {r.mail_id: r.read_yn for r in rows} == {k: v[2] for k, v in FLAGS.items() if v[1] is None}
+
+
+def test_j1_responses(spark):
+    rows = [("a", '{"error":"not found"}'), ("b", "[1]"), ("c", "oops"), ("d", '{"mail":{"id":"d"}}')]
+    src = source_from_responses(spark.createDataFrame(rows, "lookup_id string, response string"), MAIL)
+    got = {r.lookup_id: (r.fetch_error, r.response_error) for r in src.collect()}
+    unread = "unreadable response"
+    assert got == {"a": (None, "not found"), "b": (unread, None), "c": (unread, None), "d": (None, None)}
+
+
+def event(ident, version=0, action="x", **more):
+    return json.dumps({"mail_id": ident, "action": action, "version": version, **more})
+
+
+@pytest.fixture(scope="module")
+def batch(spark, key):
+    values = [
+        "not json", '{"title":"no id"}', event("new", 3, sent="x"), event("same", 5), event("old", 4, _retry_count=2),
+        event("up", 6), event("gone", 1, "delete"), event("gone2", 0, "removed"), event("miss", 1, _retry_count=1),
+        event("fetch", 1), event("bad", 1), event("html", 1), event("alias-a", 1), event("alias-b", 2),
+        event("norecord", 1), event("new", 2), event("answer", 1),
+    ]
+    records = {
+        "new": {"cc": "c@x.example"}, "same": {}, "old": {}, "up": {}, "gone": {}, "fetch": {"fetch_error": "timeout"},
+        "bad": {"title": ""}, "html": {"body": "<p>a &amp;lt; b</p>", "title": "A &amp; B"},
+        "alias-a": {"id": "alias"}, "alias-b": {"id": "alias", "title": "<b>B</b>"}, "norecord": None,
+        "answer": {"response_error": "busy"},
+    }
+    stored = {"same": 5, "old": 5, "up": 5, "gone": 9, "alias": 0}
+    return process(MAIL, feed(spark, values), source(spark, records), versions(spark, stored), key)
+
+
+def test_accepted(batch, key):
+    rows = decrypt_fields(batch.accepted, MAIL.personal, {"k1": key}).collect()
+    by = {r.mail_id: r for r in rows}
+    assert set(by) == {"new", "same", "up", "html", "alias"}
+    assert (by["new"].event_version, by["same"].event_version, by["up"].event_version) == (3, 5, 6)
+    assert (by["html"].body, by["html"].title) == ("a < b", "A &amp; B")
+    assert (by["alias"].title, by["alias"].event_version) == ("B", 2)  # D2
+    assert (by["new"].cc, by["same"].cc, by["same"].cc_enc) == ("c@x.example", None, None)
+    assert by["new"].sender == "a@x.example" and by["new"].receiver_name_enc is None
+    assert by["new"].sent_at.isoformat() == "2025-05-21T09:00:00"
+    assert batch.accepted.columns == MAIL.table_schema.names
+
+
+def test_quarantine_u1(batch):
+    got = {(r.mail_id, r.validation_error): r for r in batch.quarantine.collect()}
+    stale = "stale event dropped: incoming_version=4, current_version=5"
+    assert set(got) == {
+        (None, "invalid event payload json"), (None, "event mail_id is missing"), ("old", stale),
+        ("miss", "supply response error: not found"), ("fetch", "fetch failed: timeout"),
+        ("bad", "title is required"), ("norecord", "mail_id is required"), ("answer", "supply response error: busy"),
+    }
+    assert all(r.action == "UPSERT" for r in got.values())
+    assert got[("old", stale)].payload_json is None
+    assert got[(None, "invalid event payload json")].payload_json == "not json"
+    assert json.loads(got[("miss", "supply response error: not found")].raw_mail_json) == {"error": "not found"}
+    kept = json.loads(got[("bad", "title is required")].raw_mail_json)
+    assert kept["title"] == "" and kept["body"] == "Some text"
+    assert "sender" not in kept and json.loads(kept["sender_enc"])["alg"] == "AES-256-GCM"  # D9
+    assert got[("norecord", "mail_id is required")].raw_mail_json == "{}"
+    assert got[("fetch", "fetch failed: timeout")].raw_mail_json is None
+
+
+def test_p13_dead_letters(batch):
+    got = {r.entity_id: r for r in batch.dead_letters.collect() if r.entity_id}
+    assert {k: r.retry_count for k, r in got.items()} == {
+        "old": 0, "miss": 1, "fetch": 0, "bad": 0, "norecord": 0, "answer": 0
+    }
+    assert all(r.adapter_source == "mail-supply-default" and r.timestamp > 1.6e9 for r in got.values())
+
+
+def test_ready_u3_d4(batch):
+    got = sorted((r.mail_id, r.status) for r in batch.ready.collect())
+    assert got == [
+        ("alias-b", "ready"), ("gone", "deleted"), ("gone2", "deleted"), ("html", "ready"),
+        ("new", "ready"), ("same", "ready"), ("up", "ready"),
+    ]
+
+
+def test_metrics_a3(batch):
+    (r,) = batch.metrics.collect()
+    assert (r.events, r.accepted, r.deleted, r.quarantined) == (14, 5, 2, 8)
+    assert sorted(x.mail_id for x in batch.deletes.collect()) == ["gone", "gone2"]
+
+
+def test_nonces_are_fixed(batch):
+    one = {r.mail_id: r.sender_enc for r in batch.accepted.collect()}
+    two = {r.mail_id: r.sender_enc for r in batch.accepted.collect()}
+    assert one == two and len(set(one.values())) == len(one)
+
+
+def test_versioned_delete_policy_d10(spark, key):
+    spec = replace(MAIL, delete_policy="versioned")
+    values = [event("a", 3, "delete"), event("b", 3, "delete")]
+    out = process(spec, feed(spark, values), source(spark, {"z": {}}), versions(spark, {"a": 5, "b": 2}), key)
+    assert [r.mail_id for r in out.deletes.collect()] == ["b"]
+    assert [r.mail_id for r in out.quarantine.collect()] == ["a"]
+
+
+def test_p8_empty_and_reject_only_batches(spark, key):
+    src, stored = source(spark, {"z": {}}), versions(spark, {"z": 1})
+    empty = process(MAIL, feed(spark, []), src, stored, key)
+    assert (empty.accepted.count(), empty.quarantine.count(), empty.ready.count()) == (0, 0, 0)
+    only = process(MAIL, feed(spark, ["x", None]), src, stored, key)
+    assert (only.quarantine.count(), only.dead_letters.count(), only.ready.count()) == (2, 2, 0)
+
+
+def test_j2_takes_highest_non_null(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "mail_id string")
+    stored = spark.createDataFrame([("a", 1), ("a", 4), ("b", None), ("x", 9)], "mail_id string, event_version bigint")
+    for few in (False, True):
+        got = with_current_version(rows, stored, "mail_id", few)
+        assert {r.mail_id: r.current_version for r in got.collect()} == {"a": 4, "b": None, "c": None}

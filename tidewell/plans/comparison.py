@@ -244,9 +244,9 @@ SELECT mail_id, strftime(first_seen, {_MICROS}) AS first_seen, receipts FROM (
   SELECT mail_id, min(received_at) AS first_seen, count(*) AS receipts FROM receipts
   WHERE delay IS NOT NULL GROUP BY mail_id ORDER BY 2 DESC, 1 DESC LIMIT 10)""",
     "peak_concurrency": """WITH ends AS (
-  SELECT event_type, ts AS at, 1 AS d FROM events
+  SELECT event_type, ts AS moment, 1 AS d FROM events
   UNION ALL SELECT event_type, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)), -1 FROM events),
-runs AS (SELECT event_type, d, sum(d) OVER (PARTITION BY event_type ORDER BY at, d
+runs AS (SELECT event_type, d, sum(d) OVER (PARTITION BY event_type ORDER BY moment, d
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM ends)
 SELECT event_type, CAST(count(*) FILTER (d = 1) AS BIGINT) AS total_requests,
        CAST(max(active) AS BIGINT) AS peak_active FROM runs GROUP BY event_type""",

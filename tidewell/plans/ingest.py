@@ -133,8 +133,10 @@ def process(
 ) -> Outputs:
     """The whole batch; the outputs are frames over one written table of verdicts.
 
-    ``materialize`` fixes the drawn nonces and spares every output a second look
-    at the source.
+    ``materialize`` is applied to the surviving events, so that the feed is read
+    once, and to the verdicts, which fixes the drawn nonces and spares every
+    output a second look at the source.
     """
-    judged = judge(survivors(feed, spec), source, spec, key)
-    return outputs_of(outcomes.settle(materialize(judged), versions, spec), spec)
+    events = materialize(survivors(feed, spec))
+    judged = materialize(judge(events, source, spec, key, events.count()))
+    return outputs_of(outcomes.settle(judged, versions, spec), spec)
