@@ -80,9 +80,8 @@ def json_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.VariantType):
-        return F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string")).when(
-            F.schema_of_variant(c) != "VOID", F.to_json(c)
-        )
+        # a string variant as it is, anything else as JSON text, a JSON null as null
+        return F.try_variant_get(c, "$", "string")
     return F.to_json(c, {"ignoreNullFields": "false"})
 
 

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.functions.coerce import iso_timestamp, strip
+from tidewell.functions.coerce import SPACE, iso_timestamp
 
 # Action words that mean a removal.
 DELETE_WORDS = ("delete", "deleted", "remove", "removed")
 
 
+#: Where the message sits inside the parsed envelope.
+ROOT = "$[0]"
+
+_DELETE_PATTERN = rf"(?iU)^{SPACE}*(?:{'|'.join(DELETE_WORDS)}){SPACE}*$"
+
+
 def envelope(raw: Column) -> Column:
     """Parse ``[<raw>,<hash of raw>]`` once.
 
@@ -23,26 +29,32 @@ def envelope(raw: Column) -> Column:
     )
 
 
-def strict_object(raw: Column, parsed: Column) -> Column:
-    """The payload variant if ``raw`` is exactly one JSON object, else null."""
-    body = F.try_variant_get(parsed, "$[0]", "variant")
+def is_one_object(raw: Column, parsed: Column) -> Column:
+    """``raw`` is exactly one JSON object."""
     intact = F.try_variant_get(parsed, "$[1]", "bigint") == F.xxhash64(raw)
-    return F.when(intact & F.schema_of_variant(body).startswith("OBJECT"), body)
+    return F.coalesce(intact & raw.rlike(r"^[ \t\r\n]*\{"), F.lit(False))
+
 
+def field_text(parsed: Column, name: str) -> Column:
+    return F.try_variant_get(parsed, f"{ROOT}.{name}", "string")
 
-def action(payload: Column) -> Column:
+
+def action(parsed: Column) -> Column:
     """DELETE for the removal words, UPSERT for anything else."""
-    word = F.lower(strip(F.try_variant_get(payload, "$.action", "string")))
-    return F.when(word.isin(*DELETE_WORDS), F.lit("DELETE")).otherwise(F.lit("UPSERT"))
+    gone = field_text(parsed, "action").rlike(_DELETE_PATTERN)
+    return F.when(gone, F.lit("DELETE")).otherwise(F.lit("UPSERT"))
 
 
-def version(payload: Column) -> Column:
+def version(parsed: Column) -> Column:
     """P5: integer version, 0 when absent or not a number."""
-    return F.coalesce(F.try_variant_get(payload, "$.version", "bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(
+        F.try_variant_get(parsed, f"{ROOT}.version", "bigint"), F.lit(0).cast("bigint")
+    )
 
 
-def moment(payload: Column, name: str) -> Column:
-    return iso_timestamp(F.try_variant_get(payload, f"$.{name}", "string"))
+def moment(parsed: Column, name: str) -> Column:
+    """P6."""
+    return iso_timestamp(field_text(parsed, name))
 
 
 def retry_count(payload_text: Column) -> Column:

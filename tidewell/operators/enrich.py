@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from tidewell.functions import text as X
 from tidewell.functions.coerce import is_empty, is_json_true, iso_timestamp, text
-from tidewell.functions.envelope import FieldKey, protected
 from tidewell.functions.rules import Record, first_failure
 from tidewell.model import DomainSpec
 
@@ -45,17 +44,14 @@ def source_from_responses(responses: DataFrame, spec: DomainSpec) -> DataFrame:
     )
 
 
-def narrow_source(
-    source: DataFrame, ids: DataFrame, id_field: str, id_count: int | None = None
-) -> DataFrame:
+def narrow_source(source: DataFrame, ids: DataFrame, id_field: str, id_count: int) -> DataFrame:
     """Keep the source rows some event asks for.
 
-    The semi join reads the big side once.  When the caller has counted the ids
-    and they are few, they travel to the source and no record body is shuffled;
-    otherwise both sides are hashed on the id and the later join reuses that.
+    When the ids are few, they travel to the source and no record body is
+    shuffled; otherwise both sides are hashed on the id.
     """
     wanted = ids.select(F.col(id_field).alias("lookup_id"))
-    if id_count is not None and id_count <= BROADCAST_IDS:
+    if id_count <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     return source.join(wanted, "lookup_id", "left_semi")
 
@@ -63,33 +59,38 @@ def narrow_source(
 def lookup(
     events: DataFrame, source: DataFrame, spec: DomainSpec, id_count: int | None = None
 ) -> DataFrame:
-    """Every upsert with its ``record`` or a ``lookup_error``.  A miss is an error row."""
-    columns = source.columns
-    found = narrow_source(source, events, spec.id_field, id_count).select(
+    """Every upsert with its ``record`` or a ``lookup_error``.  A miss is an error row.
+
+    Pass ``id_count`` when the events are written or cached and counted: few ids
+    then filter the source where it lies.  Without it this is one plain join.
+    """
+    if id_count is not None and id_count <= BROADCAST_IDS:
+        source = narrow_source(source, events, spec.id_field, id_count)
+    found = source.select(
         F.col("lookup_id").alias(spec.id_field),
         "record",
-        (F.col("fetch_error") if "fetch_error" in columns else F.lit(None).cast("string")).alias(
-            "_fetch"
-        ),
-        (
-            F.col("response_error")
-            if "response_error" in columns
-            else F.lit(None).cast("string")
-        ).alias("_response"),
+        source_error(source).alias("_error"),
         F.lit(True).alias("_hit"),
     )
-    error = (
-        F.when(F.col("_fetch").isNotNull(), F.concat(F.lit(FETCH_FAILED), "_fetch"))
-        .when(~is_empty(F.col("_response")), F.concat(F.lit(RESPONSE_ERROR), "_response"))
-        .when(F.col("_hit").isNull(), F.lit(RESPONSE_ERROR + NOT_FOUND))
-    )
+    missed = F.when(F.col("_hit").isNull(), F.lit(RESPONSE_ERROR + NOT_FOUND))
     return (
         events.join(found, spec.id_field, "left")
-        .withColumn("lookup_error", error)
-        .drop("_fetch", "_response", "_hit")
+        .withColumn("lookup_error", F.coalesce("_error", missed))
+        .drop("_error", "_hit")
     )
 
 
+def source_error(source: DataFrame) -> Column:
+    """The message of a failed fetch or an error answer, null for a good row."""
+    error = F.lit(None).cast("string")
+    if "response_error" in source.columns:
+        answer = F.col("response_error")
+        error = F.when(~is_empty(answer), F.concat(F.lit(RESPONSE_ERROR), answer))
+    if "fetch_error" in source.columns:
+        error = F.coalesce(F.concat(F.lit(FETCH_FAILED), "fetch_error"), error)
+    return error
+
+
 def record_of(frame: DataFrame) -> Record:
     return Record(frame.schema["record"].dataType)
 
@@ -160,13 +161,13 @@ def to_canonical(frame: DataFrame, spec: DomainSpec, keep: tuple[str, ...] = ())
     )
 
 
-def protected_record(frame: DataFrame, spec: DomainSpec, key: FieldKey | None) -> Column:
-    """The record as JSON for quarantine, personal fields sealed when a key is given."""
+def kept_record(frame: DataFrame, spec: DomainSpec, sealed: bool = True) -> Column:
+    """The record as JSON for quarantine; personal fields from ``_<field>_enc`` if sealed."""
     struct = frame.schema["record"].dataType
     record = record_of(frame)
     parts = [
-        protected(record.text(f.name), key).alias(f"{f.name}_enc")
-        if key is not None and f.name in spec.personal
+        F.col(f"_{f.name}_enc").alias(f"{f.name}_enc")
+        if sealed and f.name in spec.personal
         else record.raw(f.name).alias(f.name)
         for f in struct.fields
     ]

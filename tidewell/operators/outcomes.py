@@ -69,6 +69,22 @@ def accepted_rows(settled: DataFrame) -> DataFrame:
     return settled.where(F.col("outcome") == ACCEPTED).select("row.*")
 
 
+def changes(settled: DataFrame, spec: DomainSpec) -> DataFrame:
+    """What the epoch does to the lake, in one pass: schema S plus ``op`` (``U`` or ``D``)."""
+    gone = F.col("outcome") == DELETED
+    values = []
+    for name in spec.table_schema.names:
+        c = F.col(f"row.{name}")
+        if name == spec.id_field:
+            c = F.when(gone, F.col("entity_id")).otherwise(c)
+        elif name == "event_version":
+            c = F.when(gone, F.col("event_version")).otherwise(c)
+        values.append(c.alias(name))
+    return settled.where(F.col("outcome").isin(ACCEPTED, DELETED)).select(
+        *values, F.when(gone, F.lit("D")).otherwise(F.lit("U")).alias("op")
+    )
+
+
 def deleted_ids(settled: DataFrame, spec: DomainSpec) -> DataFrame:
     """A2: distinct ids to remove."""
     return (

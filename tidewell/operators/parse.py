@@ -27,33 +27,35 @@ def parse_feed(feed: DataFrame, spec: DomainSpec, keep: tuple[str, ...] = ()) ->
     raw = F.col("value").cast("string")
     text = feed.select(*keep, "partition", "offset", raw.alias("payload_json"))
     opened = bind(text, "_all", P.envelope(F.col("payload_json")))
-    body = bind(opened, "_body", P.strict_object(F.col("payload_json"), F.col("_all")))
-    payload = F.col("_body")
-    entity = F.try_variant_get(payload, f"$.{spec.id_field}", "string")
-    return body.select(
+    whole = F.col("_all")
+    ident = F.col("_id")
+    read = opened.select(
         *keep,
         "partition",
         "offset",
-        entity.alias(spec.id_field),
-        P.action(payload).alias("action"),
-        P.version(payload).alias("event_version"),
-        P.moment(payload, "source_updated_at").alias("source_updated_at"),
-        P.moment(payload, "occurred_at").alias("occurred_at"),
+        P.field_text(whole, spec.id_field).alias("_id"),
+        P.action(whole).alias("action"),
+        P.version(whole).alias("event_version"),
+        P.moment(whole, "source_updated_at").alias("source_updated_at"),
+        P.moment(whole, "occurred_at").alias("occurred_at"),
         "payload_json",
-        payload.isNull().alias("_broken"),
-    ).select(
+        P.is_one_object(F.col("payload_json"), whole).alias("_good"),
+    )
+    named = read.withColumn(
+        "parse_error",
+        F.when(~F.col("_good"), F.lit(BAD_JSON)).when(is_blank(ident), F.lit(missing_id(spec))),
+    )
+    return named.select(
         *keep,
         "partition",
         "offset",
-        F.when(~is_blank(F.col(spec.id_field)), F.col(spec.id_field)).alias(spec.id_field),
-        "action",
-        "event_version",
-        "source_updated_at",
-        "occurred_at",
+        F.when(F.col("parse_error").isNull(), ident).alias(spec.id_field),
+        F.when(F.col("_good"), F.col("action")).otherwise(F.lit("UPSERT")).alias("action"),
+        F.when(F.col("_good"), F.col("event_version")).otherwise(F.lit(0)).alias("event_version"),
+        F.when(F.col("_good"), F.col("source_updated_at")).alias("source_updated_at"),
+        F.when(F.col("_good"), F.col("occurred_at")).alias("occurred_at"),
         "payload_json",
-        F.when(F.col("_broken"), F.lit(BAD_JSON))
-        .when(is_blank(F.col(spec.id_field)), F.lit(missing_id(spec)))
-        .alias("parse_error"),
+        "parse_error",
     )
 
 

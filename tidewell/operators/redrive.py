@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.bind import bind
 from tidewell.functions.coerce import json_text
 from tidewell.model import DEAD_LETTER_FIELDS, DomainSpec
 
@@ -39,9 +40,8 @@ def to_messages(letters: DataFrame) -> DataFrame:
 
 def from_messages(feed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Dead letters back from their wire form; payload as JSON text or plain text."""
-    read = feed.select(
-        *keep, F.from_json(F.col("value").cast("string"), DEAD_LETTER_FIELDS).alias("m")
-    )
+    opened = F.from_json(F.col("value").cast("string"), DEAD_LETTER_FIELDS)
+    read = bind(feed.select(*keep, "value"), "m", opened)
     kinds = {f.name: f.dataType for f in read.schema["m"].dataType.fields}
     return read.select(
         *keep,
@@ -84,12 +84,8 @@ def classify(letters: DataFrame, spec: DomainSpec) -> DataFrame:
 
 
 def rebuilt_payload(spec: DomainSpec) -> Column:
-    """M5: the payload object with the new count, or a minimal event when there is none."""
-    body = F.try_parse_json("payload_json")
-    fields = F.when(
-        F.schema_of_variant(body).startswith("OBJECT"),
-        F.expr("try_cast(try_parse_json(payload_json) AS MAP<STRING, VARIANT>)"),
-    )
+    """M5: the payload object (``_body``) with the new count, or a minimal event without one."""
+    fields = F.expr("try_cast(_body AS MAP<STRING, VARIANT>)")
     minimal = F.create_map(
         F.lit(spec.id_field),
         F.col("entity_id").cast("variant"),
@@ -108,7 +104,7 @@ def redriven(classified: DataFrame, spec: DomainSpec, now: Column | None = None)
     due = classified.where(F.col("outcome") == REDRIVEN)
     if now is not None:
         due = due.where(F.col("not_before") <= now)
-    return due.select(
+    return bind(due, "_body", F.try_parse_json("payload_json")).select(
         F.col("entity_id").cast("binary").alias("key"),
         rebuilt_payload(spec).cast("binary").alias("value"),
     )

@@ -50,6 +50,23 @@ def notices_with_rows(ready: DataFrame, gold: DataFrame, spec: DomainSpec) -> Da
     )
 
 
+def _allowed(
+    requests: DataFrame, credentials: DataFrame, memberships: DataFrame, routes: DataFrame
+) -> DataFrame:
+    """The (key, route) pairs among the requests that some group permits.
+
+    Starts from the pairs that were asked for, so a group with many members and
+    many routes is never multiplied out.
+    """
+    asked = requests.where(F.col("api_key").isNotNull()).select("api_key", "route").distinct()
+    groups = asked.join(credentials, "api_key").join(memberships, "consumer")
+    return (
+        groups.join(routes, ["route", "member_group"], "left_semi")
+        .select("api_key", "route")
+        .distinct()
+    )
+
+
 def entitled(
     requests: DataFrame, credentials: DataFrame, memberships: DataFrame, routes: DataFrame
 ) -> DataFrame:
@@ -59,10 +76,7 @@ def entitled(
     ``memberships(consumer, member_group)``, ``routes(route, member_group)``.
     A request without a known key never matches.
     """
-    grants = (
-        memberships.join(routes, "member_group").select("consumer", "route").distinct()
-    )
-    allowed = credentials.join(grants, "consumer").select("api_key", "route").distinct()
+    allowed = _allowed(requests, credentials, memberships, routes)
     return requests.join(allowed, ["api_key", "route"], "left_semi")
 
 
@@ -70,8 +84,5 @@ def refused(
     requests: DataFrame, credentials: DataFrame, memberships: DataFrame, routes: DataFrame
 ) -> DataFrame:
     """J7, the other side."""
-    grants = (
-        memberships.join(routes, "member_group").select("consumer", "route").distinct()
-    )
-    allowed = credentials.join(grants, "consumer").select("api_key", "route").distinct()
+    allowed = _allowed(requests, credentials, memberships, routes)
     return requests.join(allowed, ["api_key", "route"], "left_anti")

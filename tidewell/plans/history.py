@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tidewell.operators import enrich
 from tidewell.operators.latest import latest_per_key
 from tidewell.operators.parse import parse_feed, usable
 from tidewell.operators.versions import final_state, fold_versions, stale_rows
+from tidewell.sources.storage import cut_lineage
 
 
 def epoch_winners(feed: DataFrame, spec: DomainSpec, epoch: str = "epoch_id") -> DataFrame:
@@ -17,23 +20,13 @@ def epoch_winners(feed: DataFrame, spec: DomainSpec, epoch: str = "epoch_id") ->
     return latest_per_key(usable(parse_feed(feed, spec, keep=(epoch,))), spec, by=(epoch,))
 
 
-def judged_source(source: DataFrame, spec: DomainSpec) -> DataFrame:
-    """Each source record once: errors and cleaned text, whatever events ask for it."""
-    columns = source.columns
-    error = F.lit(None).cast("string")
-    if "response_error" in columns:
-        error = F.concat(F.lit(enrich.RESPONSE_ERROR), "response_error")
-    if "fetch_error" in columns:
-        error = F.coalesce(F.concat(F.lit(enrich.FETCH_FAILED), "fetch_error"), error)
-    named = source.select(
-        F.col("lookup_id").alias(spec.id_field), "record", error.alias("lookup_error")
+def good_records(source: DataFrame, spec: DomainSpec) -> DataFrame:
+    """Source rows (id, record, whatever else they carry) that pass every check, cleaned."""
+    named = source.withColumnRenamed("lookup_id", spec.id_field).withColumn(
+        "lookup_error", enrich.source_error(source)
     )
-    return enrich.clean_record(enrich.validate(named, spec), spec)
-
-
-def good(judged: DataFrame) -> DataFrame:
-    bad = F.coalesce("lookup_error", "rule_error", "clean_error")
-    return judged.where(bad.isNull())
+    judged = enrich.clean_record(enrich.validate(named, spec), spec)
+    return judged.where(F.coalesce("lookup_error", "rule_error", "clean_error").isNull())
 
 
 def renamed_records(source: DataFrame, spec: DomainSpec) -> DataFrame:
@@ -53,22 +46,26 @@ def gold_state(
     source: DataFrame,
     spec: DomainSpec,
     epoch: str = "epoch_id",
+    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Schema C rows the lake ends with after all epochs.
 
     A record's verdict depends on the record alone, so an id with a bad record
     can never own a row and its other events need no judging.  The history is
-    therefore folded first, on the small events, and the source is read once,
-    for the surviving ids only.
+    therefore folded first, on the small events (written once, so the feed is
+    parsed once), and the source is read once, for the surviving ids only.
     """
     winners = epoch_winners(feed, spec, epoch).select(
         epoch, spec.id_field, "action", *spec.event_fields
     )
-    last = final_state(winners, spec, epoch)
-    wanted = last.select(F.col(spec.id_field).alias("lookup_id"))
-    records = source.join(wanted, "lookup_id", "left_semi")
-    found = last.join(good(judged_source(records, spec)), spec.id_field)
-    return enrich.to_canonical(found, spec)
+    last = final_state(materialize(winners), spec, epoch)
+    n = last.count()
+    wanted = last.withColumnRenamed(spec.id_field, "lookup_id")
+    # few survivors go to the source; its bodies are shuffled only for many
+    if n <= enrich.BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    found = source.join(wanted, "lookup_id")
+    return enrich.to_canonical(good_records(found, spec), spec)
 
 
 def stale_events(
@@ -77,13 +74,16 @@ def stale_events(
     spec: DomainSpec,
     epoch: str = "epoch_id",
     block: int | None = None,
+    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Every upsert of the history the version check rejects, with its message.
 
-    Only the ids of good records travel; see ``fold_versions`` for ``block``.
+    The versions an id meets do not depend on other ids, so the history is
+    folded as if all records were good and the ids of bad ones are dropped
+    after; only records of ids with a stale event are judged.
     """
-    winners = epoch_winners(feed, spec, epoch)
-    judged = good(judged_source(source, spec)).select(spec.id_field)
-    ups = winners.where(F.col("action") == "UPSERT").join(judged, spec.id_field, "left_semi")
-    history = ups.unionByName(winners.where(F.col("action") == "DELETE"))
-    return stale_rows(fold_versions(history, spec, epoch, block))
+    winners = materialize(epoch_winners(feed, spec, epoch).drop("payload_json"))
+    stale = stale_rows(fold_versions(winners, spec, epoch, block))
+    ids = stale.select(spec.id_field).distinct()
+    asked = enrich.narrow_source(source, ids, spec.id_field, ids.count())
+    return stale.join(good_records(asked, spec).select(spec.id_field), spec.id_field, "left_semi")

@@ -59,17 +59,19 @@ def judge(
     failed = F.coalesce("lookup_error", F.when(F.col("lookup_error").isNull(), F.col("rule_error")), "clean_error")
     record = enrich.record_of(checked)
     row_id = enrich.canonical_id(record, spec, F.col(spec.id_field))
-
-    sealed = []
-    for name, _ in spec.fields:
-        value = enrich.canonical_value(record, spec, name)
-        if name in spec.personal:
-            sealed.append(protected(value, key).alias(f"{name}_enc"))
-        else:
-            sealed.append(value.alias(name))
+    # sealed once, for the row and for the quarantined record alike
+    sealed = checked.withColumns(
+        {"error": failed, **{f"_{n}_enc": protected(record.text(n), key) for n in spec.personal}}
+    )
+    values = [
+        F.col(f"_{n}_enc").alias(f"{n}_enc")
+        if n in spec.personal
+        else enrich.canonical_value(record, spec, n).alias(n)
+        for n, _ in spec.fields
+    ]
     row = F.struct(
         row_id.alias(spec.id_field),
-        *sealed,
+        *values,
         *spec.event_fields,
         F.current_timestamp().alias("ingested_at"),
     )
@@ -78,10 +80,10 @@ def judge(
         F.col("lookup_error").startswith(enrich.RESPONSE_ERROR), answered_error
     ).when(
         F.col("lookup_error").isNull() & F.col("error").isNotNull(),
-        F.coalesce(enrich.protected_record(checked, spec, key if seal_quarantine else None), F.lit("{}")),
+        F.coalesce(enrich.kept_record(checked, spec, seal_quarantine), F.lit("{}")),
     )
     passed = F.col("error").isNull()
-    upserts = checked.withColumn("error", failed).select(
+    upserts = sealed.select(
         "partition",
         "offset",
         F.col(spec.id_field).alias("entity_id"),

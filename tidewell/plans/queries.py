@@ -74,8 +74,8 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same feed where single-digit numbers spoil the message, each in its own way."""
-    k = number_in_props()
-    good = _event_body()
+    k = F.col("number")
+    good = F.col("good")
     ident = F.col("user_id").cast("string")
     value = (
         F.when(k == 0, F.concat(good, F.lit(" trailing")))
@@ -89,7 +89,8 @@ def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 8, F.concat(F.lit('{"mail_id":"'), ident, F.lit('","version":3.7,"occurred_at":"2025"}')))
         .otherwise(good)
     )
-    return _as_contract(table(spark, sf_dir, "events"), value)
+    events = table(spark, sf_dir, "events")
+    return _as_contract(bind(bind(events, "number", number_in_props()), "good", _event_body()), value)
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,8 +297,8 @@ def epoch_counts(spark, sf_dir):
 
 def _letters(spark, sf_dir):
     """Dead letters in their wire form, made from events: the type gives the error, k the retries."""
-    k = number_in_props()
-    events = table(spark, sf_dir, "events")
+    k = F.col("number")
+    events = bind(table(spark, sf_dir, "events"), "number", number_in_props())
     payload = F.when(k >= 90, F.lit("not json")).otherwise(
         F.concat(
             F.lit('{"mail_id":"'), F.col("user_id").cast("string"), F.lit('","_retry_count":'),

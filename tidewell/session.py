@@ -30,6 +30,8 @@ def local_session(cpus: int | str = "*", name: str = "tidewell") -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", shuffles)
         .config("spark.ui.showConsoleProgress", "false")
+        # plans are built once per micro-batch; a call site per expression is a good part of that
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = prepare(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -156,21 +156,10 @@ class Lake:
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*keys).parquet(where)
 
-    def write_changes(
-        self, accepted: DataFrame, deletes: DataFrame, epoch: int, layer: str
-    ) -> None:
+    def write_changes(self, changes: DataFrame, epoch: int, layer: str) -> None:
         """Upserts and deletes of one epoch in one write."""
-        names = self.spec.table_schema.names
-        ups = accepted.select(*names).withColumn("op", F.lit("U"))
-        fields = {f.name: f.dataType for f in self.spec.table_schema.fields}
-        gone = deletes.select(
-            *(
-                F.col(n) if n in deletes.columns else F.lit(None).cast(fields[n]).alias(n)
-                for n in names
-            ),
-            F.lit("D").alias("op"),
-        )
-        self._put(ups.unionByName(gone), self.path(layer, "log"), epoch, spans=True)
+        names = [*self.spec.table_schema.names, "op"]
+        self._put(changes.select(*names), self.path(layer, "log"), epoch, spans=True)
 
     def write_quarantine(self, rows: DataFrame, epoch: int) -> None:
         """S11."""

@@ -48,11 +48,9 @@ def ingest_epoch(
         settled = outcomes.settle(staged, lake.versions(epoch), spec, few=n <= BROADCAST_IDS)
         settled = settled.persist(StorageLevel.MEMORY_AND_DISK)
         out = outputs_of(settled, spec)
-        deletes = settled.where(F.col("outcome") == outcomes.DELETED).select(
-            F.col("entity_id").alias(spec.id_field), "event_version"
-        )
+        changes = outcomes.changes(settled, spec)
         for layer in ("silver", "gold"):
-            lake.write_changes(out.accepted, deletes, epoch, layer)
+            lake.write_changes(changes, epoch, layer)
         lake.write_quarantine(out.quarantine, epoch)
         if spec.dlq_topic:
             lake.write_messages(to_messages(out.dead_letters), "dlq", epoch)
