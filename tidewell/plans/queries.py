@@ -21,6 +21,7 @@ from tidewell.operators.latest import latest_per_key
 from tidewell.plans import history
 from tidewell.plans.ingest import process
 from tidewell.session import prepare
+from tidewell.sources.feed import spread
 
 EPOCH_ZERO = "1970-01-01"
 TOPICS = ("search-events", "mobile-events", "graph-events")
@@ -69,7 +70,7 @@ def _as_contract(events: DataFrame, value: Column) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_contract(table(spark, sf_dir, "events"), _event_body())
+    return _as_contract(spread(table(spark, sf_dir, "events")), _event_body())
 
 
 def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,7 @@ def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 8, F.concat(F.lit('{"mail_id":"'), ident, F.lit('","version":3.7,"occurred_at":"2025"}')))
         .otherwise(good)
     )
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     return _as_contract(bind(bind(events, "number", number_in_props()), "good", _event_body()), value)
 
 
@@ -176,23 +177,23 @@ def validate_reasons(spark, sf_dir):
 
 
 def refine_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return X.refine(pages, ["html"]).withColumnRenamed("html", "plain")
 
 
 def whitespace_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.md5(collapse_space(F.col("text")).cast("binary")).alias("text_md5"))
 
 
 def refine_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = X.refine(docs, ["text"])
     return out.select("doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def protect_roundtrip(spark, sf_dir):
-    people = table(spark, sf_dir, "customer").select(
+    people = spread(table(spark, sf_dir, "customer")).select(
         "c_custkey",
         F.col("c_name").alias("sender_name"),
         F.concat(F.lower("c_mktsegment"), F.lit("@x.example")).alias("sender"),
@@ -298,7 +299,7 @@ def epoch_counts(spark, sf_dir):
 def _letters(spark, sf_dir):
     """Dead letters in their wire form, made from events: the type gives the error, k the retries."""
     k = F.col("number")
-    events = bind(table(spark, sf_dir, "events"), "number", number_in_props())
+    events = bind(spread(table(spark, sf_dir, "events")), "number", number_in_props())
     payload = F.when(k >= 90, F.lit("not json")).otherwise(
         F.concat(
             F.lit('{"mail_id":"'), F.col("user_id").cast("string"), F.lit('","_retry_count":'),

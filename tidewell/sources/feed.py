@@ -47,6 +47,16 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FEED_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Hand a small number of input splits to all cores before costly per-row work.
+
+    Parsing or cleaning a row costs far more than moving it once.  Input that
+    already has a split per core, which is any large input, is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def as_feed(messages: DataFrame, batch: int | None = None) -> DataFrame:
     """Complete ``(key, value)`` rows to the feed contract.
 
