@@ -186,3 +186,15 @@ def test_j2_takes_highest_non_null(spark):
     for few in (False, True):
         got = with_current_version(rows, stored, "mail_id", few)
         assert {r.mail_id: r.current_version for r in got.collect()} == {"a": 4, "b": None, "c": None}
+
+
+def test_hot_ids_and_hot_nulls(spark, key):
+    """A third of the feed on one id, a third without any: nothing is lost and nothing doubles."""
+    values = [event("hot", i % 700) for i in range(700)] + ["broken"] * 700
+    values += [event(f"m{i}", 1) for i in range(700)]
+    records = {"hot": {}, **{f"m{i}": {} for i in range(0, 700, 2)}}
+    out = process(MAIL, feed(spark, values), source(spark, records), versions(spark, {"hot": 3}), key)
+    rows = {r.mail_id: r.event_version for r in out.accepted.select("mail_id", "event_version").collect()}
+    assert rows == {"hot": 699, **{f"m{i}": 1 for i in range(0, 700, 2)}}
+    reasons = {r.validation_error: r["count"] for r in out.quarantine.groupBy("validation_error").count().collect()}
+    assert reasons == {"invalid event payload json": 700, "supply response error: not found": 350}

@@ -28,8 +28,8 @@ def subscribe(
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        told = notices_from_messages(df.select("value", "timestamp"), spec)
-        rows = notices_with_rows(told, lake.state("gold"), spec)
+        told = notices_from_messages(df.select("value", "timestamp"), spec).persist()
+        rows = notices_with_rows(told, lake.state("gold"), spec, told.count())
         (
             rows.withColumns(
                 {
@@ -43,6 +43,7 @@ def subscribe(
             .partitionBy("consumer", "batch_id")
             .parquet(out)
         )
+        told.unpersist()
 
     writer = (
         notices.writeStream.foreachBatch(batch)
