@@ -10,6 +10,13 @@ from pyspark.sql import types as T
 SPACE = r"[\s\x1c-\x1f]"
 _U = "(?U)"
 
+# Fixed value: the same characters, listed.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # The ISO forms accepted for a date-time text.
 ISO_PATTERN = (
     r"^\d{4}-\d{2}-\d{2}"
@@ -18,8 +25,8 @@ ISO_PATTERN = (
 
 
 def strip(c: Column) -> Column:
-    """Trim Unicode white space on both ends."""
-    return F.regexp_replace(c, rf"{_U}^{SPACE}+|{SPACE}+$", "")
+    """Trim Unicode white space on both ends, in linear time."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse_space(c: Column) -> Column:
