@@ -10,6 +10,7 @@ from tidewell.operators.latest import latest_per_key
 from tidewell.operators.parse import parse_feed, usable
 from tidewell.plans import queries as Q
 from tidewell.plans.ingest import judge, survivors
+from tidewell.sources import storage
 
 DATA = "/root/testdata/sf0.001"
 
@@ -57,3 +58,30 @@ def test_scans_read_only_what_is_asked(spark):
 def test_peak_uses_small_chains(spark):
     text = plan(Q.peak_concurrency(spark, DATA))
     assert "partial_sum" in text  # instants are summed before they move
+
+
+def test_no_machine_local_tables_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="shared folder"):
+        storage.shared_dir(Session())
+
+
+def test_cut_lineage_tables_can_be_dropped(spark):
+    df = storage.cut_lineage(spark.range(3))
+    assert df.count() == 3
+    where = storage._own_tables(spark)
+    assert storage.children(spark, where)
+    storage.drop_tables(spark)
+    assert not storage.exists(spark, where)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -34,25 +38,45 @@ def children(spark: SparkSession, where: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named is None:
-        named = context.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="tidewell-checkpoints-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+    """The folder the cluster names in ``spark.checkpoint.dir``; the user's setting is never changed.
+
+    Executors and driver of a cluster share no local disk, so without that
+    setting only a session inside one process gets a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a shared folder; {master} has no common local disk")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    """One temporary folder for this process, gone when it ends."""
+    made = tempfile.mkdtemp(prefix="tidewell-checkpoints-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove what ``cut_lineage`` wrote for this application; call it once its results are written."""
+    path, fs = _path(spark, _own_tables(spark))
+    fs.delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame once to the shared folder and go on from that table.
 
     Computed once, kept when executors are lost, and readers still take only
-    the columns they need.
+    the columns they need.  ``drop_tables`` removes the table at the end.
     """
-    where = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    where = f"{_own_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
@@ -66,8 +90,7 @@ def resolve_checkpoint(
 ) -> str:
     """The first non-blank setting wins, else ``default_name`` below the base folder.
 
-    The base folder is the one given, else the session's shared folder, else
-    the working directory.
+    The base folder is the one given, else the session's shared folder.
     """
     found = os.environ if settings is None else settings
     for key in keys:
@@ -75,5 +98,7 @@ def resolve_checkpoint(
         if value:
             return value
     if base_dir is None:
-        base_dir = shared_dir(spark) if spark is not None else os.getcwd()
+        if spark is None:
+            raise ValueError("a checkpoint needs a setting, a base folder or a session")
+        base_dir = shared_dir(spark)
     return f"{base_dir.rstrip('/')}/{default_name}"
