@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import quality, urls
+from tidewell.llm import packing, quality, records, urls
 from tidewell.llm.comparison import SQL  # noqa: F401
 from tidewell.session import prepare
 
@@ -14,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """The tokenizer file of the packing and record queries."""
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1, size=2048)
+
+
 def op4_url_filter(spark, sf_dir):
     return urls.filter_urls(_table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
@@ -24,4 +34,10 @@ def op5_quality_rules(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_quality_rules)}
+def op6_token_records(spark, sf_dir):
+    root = records.record_root(spark)
+    manifest = records.write_records(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=2, root=root)
+    return records.digest_records(manifest, root)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_url_filter, op5_quality_rules, op6_token_records)}
