@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import packing, quality, records, urls
+from tidewell.llm import packing, quality, records, simhash, urls
 from tidewell.llm.comparison import SQL  # noqa: F401
 from tidewell.session import prepare
 
@@ -24,6 +24,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1, size=2048)
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), distance=4, words=4)
+
+
 def op4_url_filter(spark, sf_dir):
     return urls.filter_urls(_table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
@@ -40,4 +44,4 @@ def op6_token_records(spark, sf_dir):
     return records.digest_records(manifest, root)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_url_filter, op5_quality_rules, op6_token_records)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records)}
