@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import packing, quality, records, simhash, urls
+from tidewell.llm import packing, quality, records, simhash, topk, urls
 from tidewell.llm.comparison import SQL  # noqa: F401
 from tidewell.session import prepare
 
@@ -44,4 +45,8 @@ def op6_token_records(spark, sf_dir):
     return records.digest_records(manifest, root)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records)}
+def op8_top_k(spark, sf_dir):
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records, op8_top_k)}
