@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import packing, quality, records, simhash, topk, urls
+from tidewell.llm import extraction, packing, quality, records, simhash, topk, urls
 from tidewell.llm.comparison import SQL  # noqa: F401
 from tidewell.session import prepare
 
@@ -25,6 +25,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1, size=2048)
 
 
+def op2_html_extraction(spark, sf_dir):
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), distance=4, words=4)
 
@@ -49,4 +53,4 @@ def op8_top_k(spark, sf_dir):
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records, op8_top_k)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records, op8_top_k)}
