@@ -67,6 +67,14 @@ EXAMPLES = (
     ("<body><nav>W4</nav><article><h1>W3</h1><p>W20</p><p><a href=1>W6</a></p><p>W3</p></article></body>", "0 1111"),
     ("<main><p><a href=1>W3</a></p></main>", "1"),
     ("<article><p>W2</p></article>", "1"),
+    ("<article><h1>W5</h1><p>W10</p></article>", "11"),
+    ("<article><p>W20</p><p>W15</p></article>", "11"),
+    ("<main><p>W8</p></main>", "1"),
+    ("<main><p>W30</p><p>W6 <a href=1>W9</a></p><p>W18</p></main>", "111"),
+    ("<article><p>W50</p><p><a href=1>W4</a></p></article>", "11"),
+    ("<body><p>W50</p><div>W10</div></body>", "1 0"),
+    ("<body><div>W14</div><p>W64</p><p>W52</p><div>W16</div></body>", "0 11 0"),
+    ("<body><p>W58</p><div>W3 <a href=1>W3</a></div></body>", "1 0"),
     ("<article><h1>W5</h1><p>W70</p></article>", "11"),
     ("<body><p>W60</p><p>W45</p></body>", "11"),
     ("<body><div><a href=1>W2</a></div><p>W75</p></body>", "0 1"),
