@@ -6,13 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import extraction, packing, quality, records, simhash, topk, urls
+from tidewell.llm import extraction, packing, quality, records, simhash, suffix, topk, urls
 from tidewell.llm.comparison import SQL  # noqa: F401
 from tidewell.session import prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
+    # a batch for Python is bounded in bytes, as texts may be long
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,8 +51,12 @@ def op6_token_records(spark, sf_dir):
     return records.digest_records(manifest, root)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix.digest(_table(spark, sf_dir, "documents"), window=400)
+
+
 def op8_top_k(spark, sf_dir):
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records, op8_top_k)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records, op7_suffix_dedup, op8_top_k)}
