@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import extraction, packing, quality, records, scoring, simhash, suffix, topk, urls
+from tidewell.llm import extraction, packing, quality, records, scoring, simhash, suffix, topk, transducer, urls
 from tidewell.llm.comparison import SQL  # noqa: F401
 from tidewell.session import prepare
 
@@ -59,8 +59,13 @@ def op8_top_k(spark, sf_dir):
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_sentencepiece(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return transducer.encode_table(_table(spark, sf_dir, "documents"), model, merges=True)
+
+
 def op10_lm_scoring(spark, sf_dir):
     return scoring.score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records, op7_suffix_dedup, op8_top_k, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records, op7_suffix_dedup, op8_top_k, op9_sentencepiece, op10_lm_scoring)}
