@@ -97,7 +97,7 @@ def _pack_partition(tokenizer: str, end_id: int, size: int, most_open: int):
         encoder, schema, part = word_encoder(tokenizer), _schema(True), TaskContext.get().partitionId()
         packer, rows, sequence = Packer(size, most_open), [], part << 32
         for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):
+            for doc_id, text in zip(batch[0].to_pylist(), batch[1].cast(pa.binary()), strict=True):
                 ids = np.append(encoder.ids(text.as_py()), np.array(end_id, encoder.dtype))
                 for window in packer.add((doc_id, 0, len(ids), ids)):
                     rows += [(*r, None, None) for r in _rows(window, sequence)]

@@ -127,7 +127,7 @@ def _write(root: str, tokenizer: str, end_id: int):
         def payloads():
             nonlocal tokens
             for batch in batches:
-                for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):
+                for doc_id, text in zip(batch[0].to_pylist(), batch[1].cast(pa.binary()), strict=True):
                     ids = np.append(encoder.ids(text.as_py()), np.array(end_id, encoder.dtype))
                     tokens += len(ids)
                     yield payload(doc_id, ids)
