@@ -63,7 +63,8 @@ class Transducer:
         self.ids = {t: i for t, i, _ in pieces}
         if merges:
             self._compile_neighbours()
-        self.longest = max(map(len, self.ids), default=1)
+        #: every ending of a piece: the piece's id, or -1 if it is no piece itself
+        self.ends = {t[k:]: -1 for t in self.ids for k in range(1, len(t))} | self.ids
         inner = {c for t in self.ids if len(t) > 1 for c in t}
         #: neighbouring characters inside pieces; a path breaks between any others
         self.joints = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
@@ -140,9 +141,6 @@ class Transducer:
         time are looked at: if they form a piece that would have been merged
         before either was merged away, the border falls.
         """
-        known = self._pairs.get((first, second))
-        if known is not None:
-            return known
         a, b, i, j, stands = self.right[first], self.left[second], 0, 0, True
         weight = self.weight
         while True:
@@ -159,7 +157,7 @@ class Transducer:
             else:
                 j += 1
         if len(self._pairs) >= MOST_PAIRS:
-            self._pairs = {}
+            self._pairs.clear()
         self._pairs[first, second] = stands
         return stands
 
@@ -170,30 +168,36 @@ class Transducer:
 
     def _path(self, text: str) -> list[int]:
         """The ids along the least path through the lattice of a normalised text."""
-        n, ids, merges, weight = len(text), self.ids, self.merges, self.weight
+        n, ends = len(text), self.ends
         cost: list[float] = [0.0] + [_ENDLESS] * n
-        last: list[int | None] = [None] * (n + 1)
+        last: list[int] = [-1] * (n + 1)  # -1: nothing before, or fallen back to bytes
         back = [0] * (n + 1)
+        pairs, merges, weight = self._pairs, self.merges, self.weight
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                if cost[start] == _ENDLESS:
-                    continue
-                piece = ids.get(text[start:end])
+            start = end - 1
+            while start >= 0:
+                piece = ends.get(text[start:end])
                 if piece is None:
-                    continue
-                if merges:
-                    if last[start] is None or self.accepts(last[start], piece):
-                        cost[end], last[end], back[end] = cost[start], piece, start
-                        break
-                elif (total := cost[start] + weight[text[start:end]]) < cost[end]:
-                    cost[end], last[end], back[end] = total, piece, start
-            if text[end - 1] not in ids and cost[end] == _ENDLESS:
-                cost[end], last[end], back[end] = cost[end - 1], None, end - 1
+                    break  # no piece ends like this, so none that begins earlier does
+                if piece >= 0:
+                    if merges:
+                        before = last[start]
+                        stands = before < 0 or pairs.get((before, piece))
+                        if stands is None:
+                            stands = self.accepts(before, piece)
+                        if stands:
+                            cost[end], last[end], back[end] = cost[start], piece, start
+                            break
+                    elif (total := cost[start] + weight[text[start:end]]) < cost[end]:
+                        cost[end], last[end], back[end] = total, piece, start
+                start -= 1
+            if cost[end] == _ENDLESS and text[end - 1] not in self.ids:
+                cost[end], back[end] = cost[end - 1], end - 1
         out: list[list[int]] = []
         end = n
         while end:
             start = back[end]
-            fallen = last[end] is None
+            fallen = last[end] < 0
             out.append([self.fallback[b] for b in text[start:end].encode()] if fallen else [last[end]])
             end = start
         return [i for part in reversed(out) for i in part]
