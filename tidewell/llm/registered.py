@@ -40,7 +40,7 @@ def op3_simhash(spark, sf_dir):
 
 
 def op4_url_filter(spark, sf_dir):
-    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.ruletable(spark, urls.RULES))
+    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
 
 def op5_quality_rules(spark, sf_dir):
