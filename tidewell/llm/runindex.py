@@ -34,7 +34,7 @@ class RunIndex:
             keys = keys * width + padded[step : n + step]
         ranks, length = [], 4
         while True:
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             sorted_keys = keys[order]
             dense = np.zeros(n, np.int64)
             dense[order] = np.concatenate([[0], np.cumsum(sorted_keys[1:] != sorted_keys[:-1])])

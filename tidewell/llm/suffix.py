@@ -5,8 +5,10 @@ windows have equal anchors at equal distances.  The windows that share an
 anchor at one place are its *context*, at most some 770 bytes.  Contexts that
 are equal as a whole need counting only; contexts of one anchor that differ
 go to one run-length index, whose matching statistics tell which windows
-start anywhere else.  Anchors with very many different contexts are dealt out
-by their windows' hashes instead, which can be summed before the shuffle.
+start anywhere else.  Contexts of anchors with very many different ones are
+cut into parts, whose windows all hold one core; the core is the finer anchor,
+and parts are treated like contexts.  Should a core be crowded too, its windows
+are counted by hash, which can be summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from tidewell.sources.storage import cut_lineage
 #: Different contexts of one anchor that an index takes; beyond, windows are counted by hash.
 MOST_CONTEXTS = 2048
 #: Bytes of contexts indexed together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
+#: Windows of a part of a context of a crowded anchor.
+PART_WINDOWS = 23
 
-_ANCHORS = "k1 long, k2 long, start int, n int, anchor long, c1 long, c2 long"
+_ANCHORS = "k1 long, k2 long, start int, n int, lead int, anchor long, c1 long, c2 long"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -65,7 +69,7 @@ def _find_anchors(window: int):
                     _digest(data[a:b], s) for a, b, s in zip(first.tolist(), ends.tolist(), seeds.tolist(), strict=True)
                 ]
                 c = np.array(pairs, np.int64).reshape(-1, 2)
-                columns = (k1[which[first]], k2[which[first]], offset[first], n, anchor.view(np.int64), c[:, 0], c[:, 1])
+                columns = (k1[which[first]], k2[which[first]], offset[first], n, seeds, anchor.view(np.int64), c[:, 0], c[:, 1])
                 arrays = [pa.array(x).cast(f.type) for x, f in zip(columns, schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
@@ -81,7 +85,7 @@ def _ranges(marks: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _index_contexts(window: int):
-    """Marks of the windows that start twice or more; rows are ``anchor, c1, c2, n, body``, sorted by anchor."""
+    """Marks of the windows that start twice or more; rows are ``anchor, c1, c2, body``, sorted by anchor."""
     schema = _arrow(_MARKS)
 
     def marks(contexts: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
@@ -113,15 +117,45 @@ def _index_contexts(window: int):
     return run
 
 
+_PARTS = "anchor long, c1 long, c2 long, p1 long, p2 long, low int, body binary"
+
+
+def _parts(window: int):
+    """Parts of contexts; rows are ``anchor, c1, c2, lead, body``, ``lead`` being the anchor's distance from the first window.
+
+    Parts are laid out by the distance of a window's start from the anchor, so
+    equal windows lie in parts of the same core.  A part's ``p1, p2`` name its
+    context, ``low`` its first window there.
+    """
+    schema = _arrow(_PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, p1, p2, lead, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(body) - window + 1
+                for part in range(-lead // PART_WINDOWS, (n - 1 - lead) // PART_WINDOWS + 1):
+                    begin = part * PART_WINDOWS + lead  # of a whole part, in windows of the context
+                    low, high = max(0, begin), min(n, begin + PART_WINDOWS)
+                    core = body[begin + PART_WINDOWS - 1 : begin + window]
+                    piece = body[low : high - 1 + window]
+                    anchor = xxhash.xxh3_64_intdigest(core, part & 0xFFFF) - (1 << 63)
+                    rows.append((anchor, *_digest(piece, low - begin), p1, p2, low, piece))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
 def _window_hashes(window: int):
-    """One row per window of a context; rows are ``anchor, c1, c2, body``."""
+    """One row per window; rows are ``c1, c2, body``."""
     schema = _arrow("w1 long, w2 long, c1 long, c2 long, low int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
+            for at in range(0, batch.num_rows, 500):
                 rows = []
-                for _, c1, c2, body in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
+                for c1, c2, body in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
                     rows += [(*_digest(body[i : i + window], 0), c1, c2, i) for i in range(len(body) - window + 1)]
                 arrays = [pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -129,32 +163,65 @@ def _window_hashes(window: int):
     return run
 
 
-def _marks(docs: DataFrame, mixed: DataFrame, window: int) -> DataFrame:
-    """``c1, c2, low, high``: the repeated windows of the contexts whose anchors have several of them."""
+def _by_window(bodies: DataFrame, window: int) -> DataFrame:
+    """Marks of ``bodies(c1, c2, body)`` by counting the hashes of their windows."""
+    hashed = bodies.select("c1", "c2", "body").mapInArrow(
+        _window_hashes(window), "w1 long, w2 long, c1 long, c2 long, low int"
+    )
+    hashed = cut_lineage(hashed)
+    twice = hashed.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
+    return hashed.join(twice, ["w1", "w2"]).select("c1", "c2", "low", (F.col("low") + 1).alias("high"))
+
+
+def _by_part(bodies: DataFrame, window: int) -> DataFrame:
+    """Marks of ``bodies(anchor, c1, c2, lead, body)`` by those of their parts."""
+    parts = bodies.select("anchor", "c1", "c2", "lead", "body").mapInArrow(_parts(window), _PARTS)
+    # documents that repeat an id and its text gave the same contexts
+    parts = cut_lineage(parts.dropDuplicates(["p1", "p2", "low"]))
+    several = parts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    kinds = parts.join(cut_lineage(several), "anchor").groupBy("anchor", "c1", "c2")
+    kinds = cut_lineage(kinds.agg(F.count("*").alias("copies"), F.first("body").alias("body")))
+    marks = _marks(kinds, window, _by_window)
+    return parts.join(marks, ["c1", "c2"]).select(
+        F.col("p1").alias("c1"), F.col("p2").alias("c2"), parts["low"] + marks["low"], parts["low"] + marks["high"]
+    )
+
+
+def _marks(bodies: DataFrame, window: int, beyond) -> DataFrame:
+    """``c1, c2, low, high``: the windows of ``bodies(anchor, c1, c2, copies, body)`` that start elsewhere too.
+
+    ``c1, c2`` name bodies, and rows may be repeated; ``beyond`` takes those of crowded anchors.
+    """
+    whole = bodies.where("copies > 1").select(
+        "c1", "c2", F.lit(0).alias("low"), (F.length("body") - (window - 1)).alias("high")
+    )
+    sizes = cut_lineage(bodies.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
+    mixed = bodies.join(sizes, "anchor")
+    few = mixed.where(F.col("m") <= MOST_CONTEXTS).select("anchor", "c1", "c2", "body")
+    indexed = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index_contexts(window), _MARKS)
+    marks = whole.union(indexed)
+    if sizes.where(F.col("m") > MOST_CONTEXTS).isEmpty():
+        return marks
+    return marks.union(beyond(mixed.where(F.col("m") > MOST_CONTEXTS), window))
+
+
+def _bodies(docs: DataFrame, mixed: DataFrame, window: int) -> DataFrame:
+    """One context of each kind, cut out of a document that holds it: ``anchor, c1, c2, copies, lead, body``."""
     contexts = mixed.groupBy("anchor", "c1", "c2").agg(
-        F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "start", "n"))
+        F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "start", "n", "lead"))
     )
-    contexts = cut_lineage(contexts)
-    whole = contexts.where("copies > 1").select("c1", "c2", F.lit(0).alias("low"), F.col("n").alias("high"))
-    # one context of each kind is cut out of the document that holds it
-    asked = contexts.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "c1", "c2", "start", "n")).alias("asked"))
+    kinds = F.struct("anchor", "c1", "c2", "copies", "start", "n", "lead")
+    asked = contexts.groupBy("k1", "k2").agg(F.collect_list(kinds).alias("asked"))
     data = F.col("text").cast("binary")
     cut = F.transform(
         "asked",
-        lambda x: F.struct(x["anchor"], x["c1"], x["c2"], F.substring(data, x["start"] + 1, x["n"] + (window - 1)).alias("body")),
+        lambda x: F.struct(
+            *(x[c] for c in ("anchor", "c1", "c2", "copies", "lead")),
+            F.substring(data, x["start"] + 1, x["n"] + (window - 1)).alias("body"),
+        ),
     )
-    bodies = docs.join(asked, ["k1", "k2"]).select(F.inline(cut).alias("anchor", "c1", "c2", "body"))
-    bodies = cut_lineage(bodies)
-    many = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > MOST_CONTEXTS).select("anchor")
-    few = bodies.join(many, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    indexed = few.mapInArrow(_index_contexts(window), _MARKS)
-    hashed = bodies.join(many, "anchor", "left_semi").mapInArrow(
-        _window_hashes(window), "w1 long, w2 long, c1 long, c2 long, low int"
-    )
-    hashed = cut_lineage(hashed.distinct())
-    twice = hashed.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
-    counted = hashed.join(twice, ["w1", "w2"]).select("c1", "c2", "low", F.col("low") + 1)
-    return whole.union(indexed).union(counted).distinct()
+    found = docs.join(asked, ["k1", "k2"]).select(F.inline(cut).alias("anchor", "c1", "c2", "copies", "lead", "body"))
+    return cut_lineage(found)
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
@@ -163,10 +230,11 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     found = cut_lineage(found)
     differ = (F.min("c1") < F.max("c1")) | (F.min("c2") < F.max("c2"))
     shared = found.groupBy("anchor").agg(F.count("*").alias("m"), differ.alias("mixed")).where("m > 1").drop("m")
-    shared = cut_lineage(found.join(shared, "anchor"))
+    # written first, so that the join can split an anchor that a third of all rows have
+    shared = cut_lineage(found.join(cut_lineage(shared), "anchor"))
     plain = shared.where("NOT mixed").select("k1", "k2", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"))
     mixed = shared.where("mixed")
-    marks = cut_lineage(_marks(docs, mixed, window))
+    marks = cut_lineage(_marks(_bodies(docs, mixed, window), window, _by_part).distinct())
     partly = mixed.join(marks, ["c1", "c2"]).select(
         "k1", "k2", F.col("start") + F.col("low"), F.col("start") + F.col("high") - 1 + window
     )
