@@ -65,7 +65,7 @@ def op8_top_k(spark, sf_dir):
 
 def op9_sentencepiece(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return transducer.encodetable(table(spark, sf_dir, "documents"), model, merges=True)
+    return transducer.encode_table(table(spark, sf_dir, "documents"), model, merges=True)
 
 
 def op10_lm_scoring(spark, sf_dir):
