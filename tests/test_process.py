@@ -42,7 +42,7 @@ RULES = {
     "two broken": ({"title": "", "sender": "x"}, "title is required"),
     "t8 body": ({"body": "<p></p>"}, "body is empty after refinement"),
     "t8 title": ({"title": "<p> </p>"}, "title is empty after refinement"),
-    "t8 unreadable": ({"body": "<![odd[x]]><b>y</b>"}, "body cannot be read"),
+    "t8 unreadable": ({"body": "Content-Type: text/plain; charset=no-such\nContent-Transfer-Encoding: base64\n\neA==\n"}, "body cannot be read"),
 }
 
 

@@ -32,23 +32,45 @@ winners AS (
     FROM feed) WHERE rn = 1)"""
 )
 
+_ADDRESS = "'^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}$'"
+
+# the nations' numbers are those of ``queries.SPOILED``
 _SOURCE = f"""
 src AS (
-  SELECT CAST(d.doc_id AS VARCHAR) AS mail_id, d.source || ' ' || d.lang AS title, d.text AS body,
-         'c' || CAST(c.c_custkey AS VARCHAR) || CASE WHEN l.toxic = 1 THEN '.at.' ELSE '@' END
-           || lower(c.c_mktsegment) || '.example' AS sender,
-         c.c_name AS sender_name, 'r' || CAST(d.doc_id AS VARCHAR) || '@corp.example' AS receiver
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN customer c ON c.c_custkey = d.doc_id),
+  SELECT CASE WHEN d.lang = 'de' THEN 'de-' ELSE '' END || d.doc_id AS mail_id,
+    CASE WHEN c.c_nationkey = 0 AND c.c_acctbal > 0 THEN '' ELSE CAST(d.doc_id AS VARCHAR) END AS own_id,
+    CASE c.c_nationkey WHEN 1 THEN ' ' WHEN 10 THEN '<i> </i>' WHEN 12 THEN '<b>' || d.source || ' ' || d.lang || '</b>'
+      ELSE d.source || ' ' || d.lang END AS title,
+    CASE c.c_nationkey WHEN 10 THEN '' ELSE d.source || ' ' || d.lang END AS clean_title,
+    CASE c.c_nationkey WHEN 2 THEN chr(10) WHEN 11 THEN '<p></p>' ELSE d.text END AS body,
+    CASE WHEN c.c_nationkey = 3 THEN '' ELSE 'c' || CAST(c.c_custkey AS VARCHAR)
+      || CASE WHEN l.toxic = 1 THEN '.at.' ELSE '@' END || lower(c.c_mktsegment) || '.example' END AS sender,
+    c.c_name AS sender_name,
+    CASE c.c_nationkey WHEN 4 THEN NULL WHEN 5 THEN 'r' || d.doc_id || ' at corp'
+      ELSE 'r' || d.doc_id || '@corp.example' END AS receiver,
+    CASE WHEN c.c_nationkey = 6 THEN CASE WHEN c.c_acctbal > 0 THEN 'nobody' ELSE 'cc@corp.example' END END AS cc,
+    CASE WHEN c.c_nationkey = 7 AND c.c_acctbal > 0 THEN 'yesterday' END AS bad_moment,
+    coalesce(c.c_nationkey = 8, FALSE) AS bad_read, coalesce(c.c_nationkey = 9, FALSE) AS bad_attachment,
+    CASE WHEN l.toxic IS NULL AND d.lang = 'fr' THEN 'fetch failed: timeout'
+         WHEN l.toxic IS NULL AND d.lang = 'es' THEN 'supply response error: gone' END AS lookup_error
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN customer c ON c.c_custkey = d.doc_id),
 ruled AS (
   SELECT *, CASE
+      WHEN own_id = '' THEN 'mail_id is required'
       WHEN NOT regexp_matches(coalesce(title, ''), '[^{_SPACE}]') THEN 'title is required'
       WHEN NOT regexp_matches(coalesce(body, ''), '[^{_SPACE}]') THEN 'body is required'
-      WHEN sender IS NULL THEN 'sender is required'
-      WHEN NOT regexp_matches(sender, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}$')
-        THEN 'invalid sender email: ' || sender
-      WHEN NOT regexp_matches(receiver, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}$')
-        THEN 'invalid receiver email: ' || receiver
-    END AS rule_error
+      WHEN coalesce(sender, '') = '' THEN 'sender is required'
+      WHEN NOT regexp_matches(sender, {_ADDRESS}) THEN 'invalid sender email: ' || sender
+      WHEN receiver IS NULL THEN 'receiver is required'
+      WHEN NOT regexp_matches(receiver, {_ADDRESS}) THEN 'invalid receiver email: ' || receiver
+      WHEN NOT regexp_matches(cc, {_ADDRESS}) THEN 'invalid cc email: ' || cc
+      WHEN bad_moment IS NOT NULL THEN 'invalid sent_at datetime: ' || bad_moment
+      WHEN bad_read THEN 'read_yn must be boolean'
+      WHEN bad_attachment THEN 'has_attachment must be boolean'
+    END AS rule_error,
+    CASE WHEN body = '<p></p>' THEN 'body is empty after refinement'
+         WHEN title = '<i> </i>' THEN 'title is empty after refinement' END AS clean_error,
+    coalesce(lookup_error, rule_error, clean_error) AS fault
   FROM src)"""
 
 _DAMAGED = """
@@ -56,7 +78,7 @@ raw AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS uid, event_type, ts,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
 read AS (
-  SELECT event_id,
+  SELECT event_id, k,
     CASE WHEN k IN (0, 1, 2, 7) THEN 'invalid event payload json'
          WHEN k IN (3, 4) THEN 'event mail_id is missing' END AS parse_error,
     CASE WHEN k IN (0, 1, 2, 3, 4, 7) THEN NULL ELSE uid END AS mail_id,
@@ -76,8 +98,8 @@ best AS (
 judged AS (
   SELECT b.mail_id, b.action, b.event_version, r.title, r.body, r.sender, r.receiver,
     CASE WHEN b.action = 'DELETE' THEN NULL
-         WHEN r.mail_id IS NULL THEN 'supply response error: not found' ELSE r.rule_error END AS err,
-    CAST(c.c_nationkey * 4 AS BIGINT) AS stored
+         WHEN r.mail_id IS NULL THEN 'supply response error: not found' ELSE r.fault END AS err,
+    r.clean_title, r.cc, r.lookup_error, b.k, CAST(c.c_nationkey + 80 AS BIGINT) AS stored
   FROM best b LEFT JOIN ruled r ON b.mail_id = r.mail_id
   LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = b.mail_id),
 settled AS (
@@ -89,7 +111,7 @@ settled AS (
 _FOLD = f"""{_WINNERS},{_SOURCE},
 history AS (
   SELECT w.* FROM winners w
-  WHERE w.action = 'DELETE' OR w.mail_id IN (SELECT mail_id FROM ruled WHERE rule_error IS NULL)),
+  WHERE w.action = 'DELETE' OR w.mail_id IN (SELECT mail_id FROM ruled WHERE fault IS NULL)),
 grouped AS (
   SELECT *, sum(CASE WHEN action = 'DELETE' THEN 1 ELSE 0 END)
               OVER (PARTITION BY mail_id ORDER BY epoch_id) AS grp FROM history),
@@ -151,7 +173,25 @@ incoming AS (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_ord
 
 _MICROS = "'%Y-%m-%d %H:%M:%S.%f'"
 
+_TOKENS = r"(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<[^>]*>|[^<]+|<"
+
+
+def _decoded(text: str) -> str:
+    """The references that pages hold, in one pass."""
+    for ref, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
+        text = f"replace({text}, '{ref}', '{char}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+_PAGE_TEXT = f"""array_to_string(list_transform(regexp_extract_all(html, '{_TOKENS}'), lambda t: CASE
+  WHEN starts_with(t, '<script>') THEN t[9:-10] WHEN starts_with(t, '<style>') THEN t[8:-9]
+  WHEN starts_with(t, '<') THEN '' ELSE {_decoded("t")} END), '')"""
+
 SQL = {
+    "refine_pages": f"""WITH texts AS (SELECT page_id, url, {_PAGE_TEXT} AS t FROM pages)
+SELECT page_id, url, {_clean(_decoded("t"))} AS plain FROM texts""",
+    "mime_docs": f"SELECT doc_id, md5({_clean('text')}) AS text_md5 FROM documents",
+    "tagged_docs": f"""SELECT doc_id, md5({_clean("text || ' if (a < b) { } <©'")}) AS text_md5 FROM documents""",
     "parse_events": f"""WITH {_DAMAGED}
 SELECT event_id, mail_id, action, event_version, strftime(occurred_at, {_MICROS}) AS occurred_at, parse_error
 FROM (SELECT * REPLACE (CASE WHEN parse_error = 'event mail_id is missing' AND k3 THEN ts ELSE occurred_at END
@@ -164,7 +204,7 @@ FROM winners""",
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mail_id
   ORDER BY event_version DESC, occurred_at DESC, event_id DESC) AS rn FROM feed) WHERE rn = 1 AND action = 'UPSERT')
 SELECT l.mail_id, l.event_version, s.title, md5(s.body) AS body_md5, s.sender,
-       CASE WHEN s.mail_id IS NULL THEN 'supply response error: not found' END AS lookup_error
+       CASE WHEN s.mail_id IS NULL THEN 'supply response error: not found' ELSE s.lookup_error END AS lookup_error
 FROM last l LEFT JOIN src s ON l.mail_id = s.mail_id""",
     "validate_reasons": f"WITH {_SOURCE} SELECT mail_id, rule_error FROM ruled",
     "whitespace_docs": f"SELECT doc_id, md5({_clean('text')}) AS text_md5 FROM documents",
@@ -179,18 +219,21 @@ final AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY mail_id ORDER BY event_version DESC, epoch_id DESC) AS rn
     FROM met WHERE action = 'UPSERT' AND grp = last_grp) WHERE rn = 1)
-SELECT f.mail_id, r.title, {_clean('r.body')} AS body, r.sender, coalesce(r.sender_name, '') AS sender_name,
-       r.receiver, '' AS cc, FALSE AS read_yn, f.event_version, strftime(f.occurred_at, {_MICROS}) AS occurred_at
+SELECT f.mail_id, r.clean_title AS title, {_clean('r.body')} AS body, r.sender, coalesce(r.sender_name, '') AS sender_name,
+       r.receiver, coalesce(r.cc, '') AS cc, FALSE AS read_yn, f.event_version, strftime(f.occurred_at, {_MICROS}) AS occurred_at
 FROM final f JOIN ruled r ON f.mail_id = r.mail_id""",
     "upsert_merge": f"""WITH {_ORDERS}
 SELECT * FROM stored WHERE o_custkey NOT IN (SELECT o_custkey FROM incoming) UNION ALL SELECT * FROM incoming""",
     "delete_apply": f"""WITH {_ORDERS}
 SELECT * FROM stored WHERE o_custkey NOT IN (SELECT o_custkey FROM incoming WHERE o_orderstatus = 'F')""",
     "quarantine_union": f"""WITH {_BATCH}
-SELECT NULL AS mail_id, 'UPSERT' AS action, FALSE AS without_payload, parse_error AS validation_error
+SELECT NULL AS mail_id, 'UPSERT' AS action, FALSE AS without_payload,
+       CASE WHEN k IN (0, 3, 7) THEN CAST(k AS VARCHAR) END AS payload_version, NULL AS record_title, parse_error AS validation_error
 FROM read WHERE parse_error IS NOT NULL
 UNION ALL
 SELECT mail_id, 'UPSERT', outcome = 'stale',
+       CASE WHEN outcome = 'stale' THEN NULL WHEN k = 5 THEN ' 4 ' WHEN k = 8 THEN '3.7' ELSE CAST(event_version AS VARCHAR) END,
+       CASE WHEN outcome <> 'stale' AND lookup_error IS NULL THEN title END,
        CASE WHEN outcome = 'stale' THEN 'stale event dropped: incoming_version=' || CAST(event_version AS VARCHAR)
          || ', current_version=' || CAST(stored AS VARCHAR) ELSE err END
 FROM settled WHERE outcome IN ('quarantined', 'stale')""",
@@ -198,7 +241,7 @@ FROM settled WHERE outcome IN ('quarantined', 'stale')""",
 SELECT mail_id, 'ready' AS status FROM settled WHERE outcome = 'accepted'
 UNION ALL SELECT mail_id, 'deleted' FROM settled WHERE outcome = 'deleted'""",
     "accepted_rows": f"""WITH {_BATCH}
-SELECT mail_id, title, md5({_clean('body')}) AS body_md5, sender, receiver, TRUE AS cc_blank, event_version
+SELECT mail_id, clean_title AS title, md5({_clean('body')}) AS body_md5, sender, receiver, cc IS NULL AS cc_blank, event_version
 FROM settled WHERE outcome = 'accepted'""",
     "batch_metrics": f"""WITH {_BATCH}
 SELECT count(*) AS events, count(*) FILTER (outcome = 'accepted') AS accepted,
@@ -223,7 +266,7 @@ FROM letters WHERE outcome <> 'redriven' GROUP BY outcome, err""",
 CROSS JOIN (VALUES ('search-events'), ('mobile-events'), ('graph-events')) t(topic)""",
     "subscriber_records": f"""WITH {_FEED},{_SOURCE}
 SELECT f.mail_id, f.pulls, s.title,
-       CASE WHEN s.mail_id IS NULL THEN 'supply response error: not found' END AS lookup_error
+       CASE WHEN s.mail_id IS NULL THEN 'supply response error: not found' ELSE s.lookup_error END AS lookup_error
 FROM (SELECT mail_id, count(*) AS pulls FROM feed GROUP BY mail_id) f LEFT JOIN src s ON f.mail_id = s.mail_id""",
     "ready_with_gold": f"""WITH {_GOLD}
 SELECT e.event_id, CAST(e.user_id AS VARCHAR) AS mail_id, 'ready' AS status, g.title,
@@ -252,10 +295,10 @@ SELECT event_type, CAST(count(*) FILTER (d = 1) AS BIGINT) AS total_requests,
        CAST(max(active) AS BIGINT) AS peak_active FROM runs GROUP BY event_type""",
     "kpi_summary": """SELECT n.n_name AS service,
        CASE WHEN count(c.c_custkey) = 0 THEN 'down' ELSE 'running' END AS status, count(c.c_custkey) AS received_count
-FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9900 GROUP BY n.n_name""",
+FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name
+UNION ALL SELECT n_name || ' agency', 'down', 0 FROM nation""",
     "log_union": f"""WITH {_RECEIPTS}
-SELECT consumer, strftime(received_at, '%Y-%m-%d') AS day, count(*) AS lines FROM receipts
-WHERE consumer IN ('click', 'view', 'signup') GROUP BY ALL""",
+SELECT consumer, strftime(received_at, '%Y-%m-%d') AS day, count(*) AS lines FROM receipts GROUP BY ALL""",
     "entitlement": f"""WITH {_ACCESS}
 SELECT request_id, route FROM requests r
 WHERE EXISTS (SELECT 1 FROM grants g WHERE g.api_key = r.api_key AND g.route = r.route)""",

@@ -2,8 +2,11 @@
 
 Feed: one message per row of ``events``; the user is the mail, ``error`` means
 removal, the number in ``props`` is the version, the day is the epoch.
-Source: ``documents`` that have a label (no label, no record), the sender being
-the customer of the same number; a toxic label spoils the sender's address.
+Source: one row per row of ``documents``; the sender is the customer of the same
+number.  German documents answer to another id, unlabelled French ones fail to
+be fetched, unlabelled Spanish ones answer with an error.  A toxic label spoils
+the sender's address, and the customer's nation and balance decide which other
+field is spoiled (``SPOILED``), so that every message occurs.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from tidewell.operators.latest import latest_per_key
 from tidewell.plans import history
 from tidewell.plans.ingest import process
 from tidewell.session import prepare
-from tidewell.sources.feed import spread
 
 EPOCH_ZERO = "1970-01-01"
+CONSUMERS = ("click", "view", "signup", "purchase", "error")
 TOPICS = ("search-events", "mobile-events", "graph-events")
 #: A key for the comparison queries only; jobs read theirs from the environment.
 QUERY_KEY = FieldKey("comparison", bytes(range(32)))
@@ -70,7 +73,7 @@ def _as_contract(events: DataFrame, value: Column) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_contract(spread(table(spark, sf_dir, "events")), _event_body())
+    return _as_contract(table(spark, sf_dir, "events"), _event_body())
 
 
 def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,34 +93,55 @@ def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 8, F.concat(F.lit('{"mail_id":"'), ident, F.lit('","version":3.7,"occurred_at":"2025"}')))
         .otherwise(good)
     )
-    events = spread(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
     return _as_contract(bind(bind(events, "number", number_in_props()), "good", _event_body()), value)
 
 
+#: Nations whose customers' records are spoiled, each in its own way.
+SPOILED = {
+    "id": 0, "title": 1, "body": 2, "sender": 3, "no receiver": 4, "receiver": 5, "cc": 6, "sent_at": 7, "read_yn": 8,
+    "has_attachment": 9, "empty title": 10, "empty body": 11, "tagged title": 12,
+}
+
+
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    people = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    joined = docs.join(labels, "doc_id").join(people, F.col("doc_id") == F.col("c_custkey"), "left")
-    at = F.when(F.col("toxic") == 1, F.lit(".at.")).otherwise(F.lit("@"))
+    people = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"), "c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal"
+    )
+    joined = docs.join(labels, "doc_id", "left").join(people, "doc_id", "left")
     ident = F.col("doc_id").cast("string")
+    title = F.concat_ws(" ", "source", "lang")
+    rich = F.col("c_acctbal") > 0
+
+    def spoil(what: str, bad: Column, good: Column) -> Column:
+        return F.when(F.col("c_nationkey") == SPOILED[what], bad).otherwise(good)
+
+    at = F.when(F.col("toxic") == 1, F.lit(".at.")).otherwise(F.lit("@"))
+    sender = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), at, F.lower("c_mktsegment"), F.lit(".example"))
+    receiver = F.concat(F.lit("r"), ident, F.lit("@corp.example"))
+    nothing = F.lit(None).cast("string")
+    tagged = F.concat(F.lit("<b>"), title, F.lit("</b>"))
+    record = F.struct(
+        spoil("id", F.when(rich, "").otherwise(ident), ident).alias("id"),
+        spoil("title", F.lit(" "), spoil("empty title", F.lit("<i> </i>"), spoil("tagged title", tagged, title))).alias("title"),
+        spoil("body", F.lit("\n"), spoil("empty body", F.lit("<p></p>"), F.col("text"))).alias("body"),
+        spoil("sender", F.lit(""), sender).alias("sender"),
+        F.col("c_name").alias("sender_name"),
+        spoil("no receiver", nothing, spoil("receiver", F.concat(F.lit("r"), ident, F.lit(" at corp")), receiver)).alias("receiver"),
+        F.lit("").alias("receiver_name"),
+        spoil("cc", F.when(rich, "nobody").otherwise("cc@corp.example"), nothing).alias("cc"),
+        spoil("sent_at", F.when(rich, "yesterday").otherwise("2025-05-21T09:00:00+09:00"), nothing).alias("sent_at"),
+        spoil("read_yn", F.lit("true"), nothing).alias("read_yn"),
+        spoil("has_attachment", F.lit("1"), nothing).alias("has_attachment"),
+    )
+    unlabelled = F.col("toxic").isNull()
     return joined.select(
-        ident.alias("lookup_id"),
-        F.struct(
-            ident.alias("id"),
-            F.concat_ws(" ", "source", "lang").alias("title"),
-            F.col("text").alias("body"),
-            F.concat(
-                F.lit("c"), F.col("c_custkey").cast("string"), at, F.lower("c_mktsegment"), F.lit(".example")
-            ).alias("sender"),
-            F.col("c_name").alias("sender_name"),
-            F.concat(F.lit("r"), ident, F.lit("@corp.example")).alias("receiver"),
-            F.lit("").alias("receiver_name"),
-            F.lit(None).cast("string").alias("cc"),
-            F.lit(None).cast("string").alias("sent_at"),
-            F.lit(False).alias("read_yn"),
-            F.lit(False).alias("has_attachment"),
-        ).alias("record"),
+        F.when(F.col("lang") == "de", F.concat(F.lit("de-"), ident)).otherwise(ident).alias("lookup_id"),
+        record.alias("record"),
+        F.when(unlabelled & (F.col("lang") == "fr"), "timeout").alias("fetch_error"),
+        F.when(unlabelled & (F.col("lang") == "es"), "gone").alias("response_error"),
     )
 
 
@@ -177,23 +201,60 @@ def validate_reasons(spark, sf_dir):
 
 
 def refine_pages(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return X.refine(pages, ["html"]).withColumnRenamed("html", "plain")
 
 
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _refined_md5(docs: DataFrame, wrapped: Column) -> DataFrame:
+    out = X.refine(docs.select("doc_id", wrapped.alias("text")), ["text"])
+    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def tagged_docs(spark, sf_dir):
+    """Documents as pages: a quoted ">", a script, and a reference that was escaped twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    head, tail = '<html><body><p title="a>b">', "</p> <script>if (a < b) { }</script><!-- c --> <b>&amp;lt;</b>&#169;</body></html>"
+    return _refined_md5(docs, F.concat(F.lit(head), _escaped(F.col("text")), F.lit(tail)))
+
+
+def mime_docs(spark, sf_dir):
+    """Documents as mails: the language decides the form; every form holds the same text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    packed = F.base64(F.col("text").cast("binary"))
+    plain = lambda body: F.concat(F.lit("Content-Type: text/plain; charset=utf-8\n\n"), body)
+    page = F.concat(F.lit("Content-Type: text/html\n\n<p>"), _escaped(F.col("text")), F.lit("</p>"))
+    coded = F.concat(F.lit("Content-Type: text/plain; charset=UTF-8\nContent-Transfer-Encoding: base64\n\n"), packed)
+
+    def mail(*parts: Column) -> Column:
+        pieces = [c for p in parts for c in (F.lit("--=_b\n"), p, F.lit("\n"))]
+        return F.concat(F.lit('MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="=_b"\n\n'), *pieces, F.lit("--=_b--\n"))
+
+    wrapped = (
+        F.when(F.col("lang") == "en", coded)
+        .when(F.col("lang") == "fr", mail(F.lit("Content-Type: text/html\n\n<p>not this</p>"), plain(F.col("text"))))
+        .when(F.col("lang") == "es", mail(plain(F.lit("")), page))
+        .otherwise(mail(F.lit("Content-Type: image/png\n\nx"), coded))
+    )
+    return _refined_md5(docs, wrapped)
+
+
 def whitespace_docs(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.md5(collapse_space(F.col("text")).cast("binary")).alias("text_md5"))
 
 
 def refine_docs(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = X.refine(docs, ["text"])
     return out.select("doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def protect_roundtrip(spark, sf_dir):
-    people = spread(table(spark, sf_dir, "customer")).select(
+    people = table(spark, sf_dir, "customer").select(
         "c_custkey",
         F.col("c_name").alias("sender_name"),
         F.concat(F.lower("c_mktsegment"), F.lit("@x.example")).alias("sender"),
@@ -253,7 +314,8 @@ def _stored_versions(spark, sf_dir):
     people = table(spark, sf_dir, "customer")
     return people.select(
         F.col("c_custkey").cast("string").alias("mail_id"),
-        (F.col("c_nationkey") * 4).cast("bigint").alias("event_version"),
+        # around the versions that last events reach: below, equal and above
+        (F.col("c_nationkey") + 80).cast("bigint").alias("event_version"),
     )
 
 
@@ -266,7 +328,10 @@ def _batch(spark, sf_dir):
 
 def quarantine_union(spark, sf_dir):
     return _batch(spark, sf_dir).quarantine.select(
-        "mail_id", "action", F.col("payload_json").isNull().alias("without_payload"), "validation_error"
+        "mail_id", "action", F.col("payload_json").isNull().alias("without_payload"),
+        F.get_json_object("payload_json", "$.version").alias("payload_version"),
+        F.get_json_object("raw_mail_json", "$.title").alias("record_title"),
+        "validation_error",
     )
 
 
@@ -299,7 +364,7 @@ def epoch_counts(spark, sf_dir):
 def _letters(spark, sf_dir):
     """Dead letters in their wire form, made from events: the type gives the error, k the retries."""
     k = F.col("number")
-    events = bind(spread(table(spark, sf_dir, "events")), "number", number_in_props())
+    events = bind(table(spark, sf_dir, "events"), "number", number_in_props())
     payload = F.when(k >= 90, F.lit("not json")).otherwise(
         F.concat(
             F.lit('{"mail_id":"'), F.col("user_id").cast("string"), F.lit('","_retry_count":'),
@@ -465,12 +530,11 @@ def peak_concurrency(spark, sf_dir):
 
 
 def kpi_summary(spark, sf_dir):
-    """Health per market segment as the services, counted over documents' senders."""
-    services = table(spark, sf_dir, "nation").select(F.col("n_name").alias("service"))
-    people = table(spark, sf_dir, "customer")
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("service"))
-    rich = people.where(F.col("c_acctbal") > 9900)
-    signals = rich.join(nations, rich["c_nationkey"] == nations["n_nationkey"]).select("service")
+    """Health of nations as services: a signal per customer; an agency that no customer names is down."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    agencies = nations.select(F.concat("n_name", F.lit(" agency")).alias("service"))
+    services = nations.select(F.col("n_name").alias("service")).union(agencies)
+    signals = table(spark, sf_dir, "customer").join(nations, "c_nationkey").select(F.col("n_name").alias("service"))
     return activity.service_health(services, signals)
 
 
@@ -478,7 +542,7 @@ def log_union(spark, sf_dir):
     """The consumers' logs in one frame, counted per consumer and day."""
     rows = _receipts(spark, sf_dir)
     logs = activity.union_logs(
-        [rows.where(F.col("consumer") == c).select("consumer", "mail_id", "received_at") for c in ("click", "view", "signup")]
+        [rows.where(F.col("consumer") == c).select("consumer", "mail_id", "received_at") for c in CONSUMERS]
     )
     return logs.groupBy("consumer", F.date_format("received_at", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("lines")
@@ -522,7 +586,7 @@ def list_records(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_events, delete_ids, enrich_claim_check, validate_reasons, refine_pages, refine_docs,
+        parse_events, delete_ids, enrich_claim_check, validate_reasons, refine_pages, refine_docs, tagged_docs, mime_docs,
         whitespace_docs, protect_roundtrip, stale_events, stale_events_in_runs, gold_state,
         upsert_merge, delete_apply, quarantine_union, ready_notices, accepted_rows, batch_metrics,
         epoch_counts, dlq_outcomes, redriven_events, parked_letters, serve_view, serve_lookup,
