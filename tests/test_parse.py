@@ -1,12 +1,14 @@
 """P1-P7, A1, A2, W1, W2."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from helpers import feed
+from pyspark.sql import functions as F
 
 from tidewell.domains.mail import MAIL
+from tidewell.functions.coerce import iso_timestamp
 from tidewell.operators.latest import latest_per_key
 from tidewell.operators.parse import BAD_JSON, delete_ids, parse_feed, unusable, usable
 
@@ -66,6 +68,10 @@ def test_p6_moments(spark):
         "2025-05-21": datetime(2025, 5, 21),
         "2025-05-21 09:30": datetime(2025, 5, 21, 9, 30),
         "2025": None, "10:00": None, "": None, "x": None, "2025-02-30": None,
+        "2025-05-21T09": datetime(2025, 5, 21, 9), "20250521T090000": datetime(2025, 5, 21, 9), "2025-W21-3": datetime(2025, 5, 21),
+        "2025-05-21x09:00,5": None, "2025-05-21x09:00:00,5": datetime(2025, 5, 21, 9, 0, 0, 500000), "2025-05-21\n": None,
+        "2025-05-21T09:00:00+0900": datetime(2025, 5, 21, 0), "2025-05-21T09:00+09:00:30": datetime(2025, 5, 20, 23, 59, 30),
+        "2025-05-21T09:00:00.1234567": datetime(2025, 5, 21, 9, 0, 0, 123456), "2021-W53-1": None,
         "2025-05-21T24:00:00": None, "now": None, "epoch": None,
     }
     rows = parsed(spark, [f'{{"mail_id":"1","occurred_at":"{g}"}}' for g in given])
@@ -109,3 +115,23 @@ def test_every_message_lands_on_one_side(spark):
     values = ["x", '{"mail_id":"1"}', "{}", None, '{"mail_id":"1","action":"delete"}']
     rows = parse_feed(feed(spark, values), MAIL)
     assert (usable(rows).count(), unusable(rows).count()) == (2, 3)
+
+
+def test_p6_every_combination_of_forms(spark):
+    """Against the standard library of Python 3.13."""
+    days = "2025-05-21 20250521 2025-W21-3 2025W213 2025-W21 2020-W53-7 2021-W53-1 2025-02-29 2024-02-29 2025-W00-1 2025-W21-8".split()
+    times = ["", "T09", "x09:00", " 09:00:30", "T0900", "T090030", "T09:00:30.5", "T09:00:30,1234567", "T24:00", "T09:60", "T09:0030", "T9"]
+    zones = ["", "Z", "+09:00", "-0930", "+09", "+09:00:30", "+24:00", "+0900:30", "z", "+09:00:30.5", " ", "\n"]
+    # a hyphen after a week without its day is read as the day's, here
+    texts = [d + t + z for d in days for t in times for z in zones if d + t + z != "2025-W21-0930"]
+
+    def read(text):
+        try:
+            at = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    got = [r[0] for r in df.select(iso_timestamp(F.col("t"))).collect()]
+    assert [(t, g) for t, g in zip(texts, got, strict=True) if g != read(t)] == []

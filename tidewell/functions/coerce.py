@@ -17,10 +17,11 @@ SPACE_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The ISO forms accepted for a date-time text.
+# Fixed value: the date-time texts that Python 3.13's datetime.fromisoformat accepts, as far as a pattern tells.
 ISO_PATTERN = (
-    r"^\d{4}-\d{2}-\d{2}"
-    r"([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+    r"(?s)^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|(-?)W(\d{2})(?:\6(\d))?)"
+    r"(?:.(\d{2})(?:(:?)(\d{2})(?:\10(\d{2})(?:[.,](\d+))?)?)?"
+    r"(?:Z|([+-])(\d{2})(?:(:?)(\d{2})(?:\16(\d{2})(?:[.,](\d+))?)?)?)?)?\z"
 )
 
 
@@ -45,8 +46,32 @@ def is_empty(c: Column) -> Column:
 
 
 def iso_timestamp(c: Column) -> Column:
-    """Text to timestamp, null when it is not a full ISO date or date-time."""
-    return F.when(c.rlike(ISO_PATTERN), c.try_cast("timestamp"))
+    """Text to timestamp, null unless Python 3.13's ``datetime.fromisoformat`` reads it.
+
+    Extended, compact and week dates, any character before the time, hours
+    alone or with minutes and seconds, fractions after a point or comma (cut
+    to microseconds), ``Z`` or an offset of hours, minutes and seconds.  Texts without an offset are UTC.
+    Not read, though that function reads them: a fraction without its point,
+    minutes or seconds of an offset from 60 on, and a time that a hyphen joins
+    to a week without its day.
+    """
+    group = lambda n: F.regexp_extract(c, ISO_PATTERN, n)
+    number = lambda n: F.when(group(n) == "", 0).otherwise(group(n)).cast("int")
+    or_zero = lambda n: F.when(group(n) == "", "00").otherwise(group(n))
+    month, day = (F.concat(group(n), group(n + 2)) for n in (2, 3))  # one of the two forms is empty
+    fourth = F.concat(group(1), F.lit("-01-04")).try_cast("date")
+    weekday = F.when(group(8) == "", 1).otherwise(number(8))
+    by_week = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (number(7) - 1) * 7 + weekday - 1)
+    fits = number(7).between(1, 53) & weekday.between(1, 7) & (F.weekofyear(by_week) == number(7))
+    date = F.when(group(7) == "", F.concat_ws("-", group(1), month, day)).when(fits, by_week.cast("string"))
+    fraction = F.rpad(F.substring(group(13), 1, 6), 6, "0")
+    clock = F.concat(or_zero(9), F.lit(":"), or_zero(11), F.lit(":"), or_zero(12), F.lit("."), fraction)
+    local = F.concat(date, F.lit(" "), clock, F.lit("Z")).try_cast("timestamp")
+    seconds = number(15) * 3600 + number(17) * 60 + number(18)
+    shift = seconds.cast("bigint") * 1_000_000 + F.rpad(F.substring(group(19), 1, 6), 6, "0").cast("bigint")
+    good = (number(15) < 24) & (number(17) < 60) & (number(18) < 60) & (group(1) != "0000")
+    moved = F.timestamp_micros(F.unix_micros(local) - F.when(group(14) == "-", -shift).otherwise(shift))
+    return F.when(c.rlike(ISO_PATTERN) & good, moved)
 
 
 def text(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.functions.coerce import ISO_PATTERN, is_blank, is_empty, is_flag, strip
+from tidewell.functions.coerce import is_blank, is_empty, is_flag, iso_timestamp, strip
 
 # Fixed value: accepted e-mail addresses.
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
@@ -66,8 +66,7 @@ def optional_email(c: Column, message: str) -> Column:
 
 
 def optional_moment(c: Column, message: str) -> Column:
-    good = F.coalesce(c.rlike(ISO_PATTERN) & c.try_cast("timestamp").isNotNull(), F.lit(False))
-    return F.when(~is_empty(c) & ~good, F.concat(F.lit(message), c))
+    return F.when(~is_empty(c) & iso_timestamp(c).isNull(), F.concat(F.lit(message), c))
 
 
 def flag(c: Column, dtype: T.DataType, message: str) -> Column:

@@ -11,8 +11,15 @@ from tidewell.functions.coerce import is_empty, is_json_true, iso_timestamp, tex
 from tidewell.functions.rules import Record, first_failure
 from tidewell.model import DomainSpec
 
-#: Ids are sent to every executor only below this count (about 40 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Ids, and the few numbers beside them, are sent to every executor only up to this measured size.
+BROADCAST_BYTES = 32 << 20
+_ROW_BYTES = 64
+
+
+def are_few(rows: DataFrame, id_field: str) -> bool:
+    """Whether an id column, with up to five numbers beside it, is small enough to broadcast."""
+    size = F.sum(F.coalesce(F.octet_length(F.col(id_field).cast("string")), F.lit(0)) + _ROW_BYTES)
+    return (rows.agg(size).first()[0] or 0) <= BROADCAST_BYTES
 
 # Message prefixes.
 FETCH_FAILED = "fetch failed: "
@@ -44,28 +51,29 @@ def source_from_responses(responses: DataFrame, spec: DomainSpec) -> DataFrame:
     )
 
 
-def narrow_source(source: DataFrame, ids: DataFrame, id_field: str, id_count: int) -> DataFrame:
+def narrow_source(source: DataFrame, ids: DataFrame, id_field: str, few: bool) -> DataFrame:
     """Keep the source rows some event asks for.
 
     When the ids are few, they travel to the source and no record body is
     shuffled; otherwise both sides are hashed on the id.
     """
     wanted = ids.select(F.col(id_field).alias("lookup_id"))
-    if id_count <= BROADCAST_IDS:
+    if few:
         wanted = F.broadcast(wanted)
     return source.join(wanted, "lookup_id", "left_semi")
 
 
 def lookup(
-    events: DataFrame, source: DataFrame, spec: DomainSpec, id_count: int | None = None
+    events: DataFrame, source: DataFrame, spec: DomainSpec, few: bool = False
 ) -> DataFrame:
     """Every upsert with its ``record`` or a ``lookup_error``.  A miss is an error row.
 
-    Pass ``id_count`` when the events are written or cached and counted: few ids
-    then filter the source where it lies.  Without it this is one plain join.
+    Pass ``few`` when the events are written or cached and measured
+    (``are_few``): their ids then filter the source where it lies.  Without it
+    this is one plain join.
     """
-    if id_count is not None and id_count <= BROADCAST_IDS:
-        source = narrow_source(source, events, spec.id_field, id_count)
+    if few:
+        source = narrow_source(source, events, spec.id_field, few)
     found = source.select(
         F.col("lookup_id").alias(spec.id_field),
         "record",

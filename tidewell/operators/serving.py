@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from tidewell.functions.coerce import iso_text, text
 from tidewell.model import DomainSpec
-from tidewell.operators.enrich import BROADCAST_IDS
 
 
 def serve_view(gold: DataFrame, spec: DomainSpec) -> DataFrame:
@@ -41,16 +40,12 @@ def serve_lookup(gold: DataFrame, spec: DomainSpec, entity_id: str) -> DataFrame
 
 
 def notices_with_rows(
-    ready: DataFrame, gold: DataFrame, spec: DomainSpec, id_count: int | None = None
+    ready: DataFrame, gold: DataFrame, spec: DomainSpec
 ) -> DataFrame:
     """What a consumer gets for each notice; a miss stays as an error row.
 
-    With ``id_count`` (the notices counted by the caller) few ids filter the
-    gold table where it lies, so a small batch of notices moves no stored body.
+    Give ``Lake.state`` the ids of the notices, so that ``gold`` holds only theirs.
     """
-    if id_count is not None and id_count <= BROADCAST_IDS:
-        asked = ready.select(spec.id_field).distinct()
-        gold = gold.join(F.broadcast(asked), spec.id_field, "left_semi")
     rows = gold.withColumn("_hit", F.lit(True))
     miss = F.concat(F.lit(f"{spec.id_field} not found: "), F.coalesce(spec.id_field, F.lit("")))
     return (

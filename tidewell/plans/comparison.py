@@ -196,6 +196,9 @@ SELECT page_id, url, {_clean(_decoded("t"))} AS plain FROM texts""",
 SELECT event_id, mail_id, action, event_version, strftime(occurred_at, {_MICROS}) AS occurred_at, parse_error
 FROM (SELECT * REPLACE (CASE WHEN parse_error = 'event mail_id is missing' AND k3 THEN ts ELSE occurred_at END
         AS occurred_at) FROM (SELECT r.*, raw.ts, raw.k = 3 AS k3 FROM read r JOIN raw USING (event_id)))""",
+    "parse_moments": f"""SELECT event_id, strftime(CASE event_type WHEN 'click' THEN date_trunc('second', ts)
+  WHEN 'view' THEN ts - INTERVAL 9 HOUR WHEN 'signup' THEN date_trunc('day', ts)
+  WHEN 'purchase' THEN date_trunc('hour', ts) + INTERVAL 570 MINUTE END, {_MICROS}) AS read_at FROM events""",
     "latest_per_key": f"""WITH {_WINNERS}
 SELECT epoch_id, mail_id, action, event_version, event_id, strftime(occurred_at, {_MICROS}) AS occurred_at
 FROM winners""",

@@ -16,8 +16,9 @@ from tidewell.sources.storage import cut_lineage
 
 
 def epoch_winners(feed: DataFrame, spec: DomainSpec, epoch: str = "epoch_id") -> DataFrame:
-    """A1 per epoch over a feed that carries an epoch column."""
-    return latest_per_key(usable(parse_feed(feed, spec, keep=(epoch,))), spec, by=(epoch,))
+    """A1 per epoch over a feed that carries an epoch column; payloads stay behind, so none is shuffled."""
+    events = usable(parse_feed(feed, spec, keep=(epoch,))).drop("payload_json")
+    return latest_per_key(events, spec, by=(epoch,))
 
 
 def good_records(source: DataFrame, spec: DomainSpec) -> DataFrame:
@@ -59,12 +60,10 @@ def gold_state(
         epoch, spec.id_field, "action", *spec.event_fields
     )
     last = final_state(materialize(winners), spec, epoch)
-    n = last.count()
+    few = enrich.are_few(last, spec.id_field)
     wanted = last.withColumnRenamed(spec.id_field, "lookup_id")
     # few survivors go to the source; its bodies are shuffled only for many
-    if n <= enrich.BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    found = source.join(wanted, "lookup_id")
+    found = source.join(F.broadcast(wanted) if few else wanted, "lookup_id")
     return enrich.to_canonical(good_records(found, spec), spec)
 
 
@@ -82,8 +81,8 @@ def stale_events(
     folded as if all records were good and the ids of bad ones are dropped
     after; only records of ids with a stale event are judged.
     """
-    winners = materialize(epoch_winners(feed, spec, epoch).drop("payload_json"))
+    winners = materialize(epoch_winners(feed, spec, epoch))
     stale = stale_rows(fold_versions(winners, spec, epoch, block))
     ids = stale.select(spec.id_field).distinct()
-    asked = enrich.narrow_source(source, ids, spec.id_field, ids.count())
+    asked = enrich.narrow_source(source, ids, spec.id_field, enrich.are_few(ids, spec.id_field))
     return stale.join(good_records(asked, spec).select(spec.id_field), spec.id_field, "left_semi")

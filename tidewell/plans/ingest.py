@@ -48,13 +48,13 @@ def judge(
     source: DataFrame,
     spec: DomainSpec,
     key: FieldKey,
-    id_count: int | None = None,
+    few: bool = False,
     seal_quarantine: bool = True,
 ) -> DataFrame:
     """Deletes pass as they are; upserts are looked up, validated, cleaned, projected, sealed."""
     looked_up = F.col("parse_error").isNull() & (F.col("action") == "UPSERT")
     asked = events.where(looked_up)
-    found = enrich.lookup(asked, source, spec, id_count)
+    found = enrich.lookup(asked, source, spec, few)
     checked = enrich.clean_record(enrich.validate(found, spec), spec)
     failed = F.coalesce("lookup_error", F.when(F.col("lookup_error").isNull(), F.col("rule_error")), "clean_error")
     record = enrich.record_of(checked)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidewell.domains.mail import MAIL
 from tidewell.functions import text as X
 from tidewell.functions.bind import bind
-from tidewell.functions.coerce import collapse_space, iso_text
+from tidewell.functions.coerce import collapse_space, iso_text, iso_timestamp
 from tidewell.functions.envelope import FieldKey, decrypt_fields, encrypt_fields
 from tidewell.operators import activity, enrich, fanout, merge, outcomes, parse, redrive, serving
 from tidewell.operators.latest import latest_per_key
@@ -160,8 +160,26 @@ def parse_events(spark, sf_dir):
     )
 
 
+def parse_moments(spark, sf_dir):
+    """P6 over every event's time, in a form that its type decides."""
+    at, kind = moment(), F.col("event_type")
+    week = F.concat_ws(
+        "-", F.extract(F.lit("YEAROFWEEK"), at).cast("string"),
+        F.concat(F.lit("W"), F.lpad(F.weekofyear(at).cast("string"), 2, "0")), (F.weekday(at) + 1).cast("string"),
+    )
+    written = (
+        F.when(kind == "click", F.date_format(at, "yyyyMMdd'T'HHmmss"))
+        .when(kind == "view", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss,SSSSSS'789+09:00'"))
+        .when(kind == "signup", week)
+        .when(kind == "purchase", F.date_format(at, "yyyy-MM-dd'x'HH'-0930'"))
+        .otherwise("yesterday")
+    )
+    rows = bind(table(spark, sf_dir, "events"), "written", written)
+    return rows.select("event_id", micros_text(iso_timestamp(F.col("written"))).alias("read_at"))
+
+
 def latest_event(spark, sf_dir):
-    events = parse.usable(parse.parse_feed(feed(spark, sf_dir), MAIL, keep=("epoch_id",)))
+    events = parse.usable(parse.parse_feed(feed(spark, sf_dir), MAIL, keep=("epoch_id",))).drop("payload_json")
     best = latest_per_key(events, MAIL, by=("epoch_id",))
     return best.select(
         "epoch_id", "mail_id", "action", "event_version", F.col("offset").alias("event_id"),
@@ -180,7 +198,7 @@ def _winners(spark, sf_dir):
 
 def _last_upserts(spark, sf_dir):
     """The latest event per id over the whole feed, upserts only."""
-    events = parse.usable(parse.parse_feed(feed(spark, sf_dir), MAIL))
+    events = parse.usable(parse.parse_feed(feed(spark, sf_dir), MAIL)).drop("payload_json")
     return parse.upserts(latest_per_key(events, MAIL))
 
 
@@ -586,7 +604,7 @@ def list_records(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_events, delete_ids, enrich_claim_check, validate_reasons, refine_pages, refine_docs, tagged_docs, mime_docs,
+        parse_events, parse_moments, delete_ids, enrich_claim_check, validate_reasons, refine_pages, refine_docs, tagged_docs, mime_docs,
         whitespace_docs, protect_roundtrip, stale_events, stale_events_in_runs, gold_state,
         upsert_merge, delete_apply, quarantine_union, ready_notices, accepted_rows, batch_metrics,
         epoch_counts, dlq_outcomes, redriven_events, parked_letters, serve_view, serve_lookup,

@@ -12,6 +12,8 @@ from tidewell.model import FEED_SCHEMA
 # Stream defaults.
 MAX_PER_TRIGGER = 5000
 TRIGGER_SECONDS = 5
+#: Partitions of a feed kept in folders.
+PARTITIONS = 256
 
 
 def stream_topic(
@@ -47,30 +49,24 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FEED_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Hand a small number of input splits to all cores before costly per-row work.
-
-    Parsing or cleaning a row costs far more than moving it once.  Input that
-    already has a split per core, which is any large input, is left alone.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def as_feed(messages: DataFrame, batch: int | None = None) -> DataFrame:
     """Complete ``(key, value)`` rows to the feed contract.
 
-    Offsets grow with the batch number (the clock by default) and are unique
-    inside it, so the later of two publications also sorts later.
+    Like a keyed broker: messages of one key share a partition, and offsets
+    grow with the batch number (the clock by default), so of two publications
+    of a key the later one sorts later.  Offsets are unique within a batch;
+    keyless messages go by their content.
     """
     number = int(time.time()) if batch is None else batch
+    place = F.coalesce(F.xxhash64("key"), F.xxhash64("value"))
+    # 2**31 batches of 2**32 messages; the id holds the task above 33 bits and the row below
     row = F.monotonically_increasing_id()
-    per_task = F.lit(1 << 33)
+    task, within = F.shiftright(row, 33), row.bitwiseAND((1 << 33) - 1)
     return messages.select(
         F.col("key").cast("binary").alias("key"),
         F.col("value").cast("binary").alias("value"),
-        F.floor(row / per_task).cast("int").alias("partition"),
-        (F.lit(number).cast("bigint") * F.lit(1 << 31) + row % per_task).alias("offset"),
+        F.pmod(place, F.lit(PARTITIONS)).cast("int").alias("partition"),
+        (F.lit(number).cast("bigint") * F.lit(1 << 32) + task * F.lit(1 << 20) + within).alias("offset"),
         F.current_timestamp().alias("timestamp"),
     )
 

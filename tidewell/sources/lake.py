@@ -82,14 +82,18 @@ class Lake:
         return rows if before is None else rows.where(F.col("epoch_id") < before)
 
     def _rows(
-        self, layer: str, columns: list[str], before: int | None, entity_id: str | None
+        self, layer: str, columns: list[str], before: int | None, entity_id: str | None, ids: DataFrame | None = None
     ) -> DataFrame:
+        """Last row per id; with ``ids`` (one small column) both log and snapshot are cut to those first."""
         ident = self.spec.id_field
         rest = [c for c in columns if c != ident] + ["op"]
         snap = self.snapshot(layer, before)
         tail = self.log(layer, snap[0] if snap else -1, before)
         if entity_id is not None:
             tail = tail.where(F.col(ident) == F.lit(entity_id))
+        if ids is not None:
+            asked = F.broadcast(ids.toDF(ident).distinct())
+            tail = tail.join(asked, ident, "left_semi")
         # inside one epoch deletes run before upserts, so the upsert is the later one
         when = F.struct("epoch_id", F.col("op") == "U")
         last = tail.groupBy(ident).agg(F.max_by(F.struct(*rest), when).alias("_r"))
@@ -101,6 +105,8 @@ class Lake:
         if entity_id is not None:
             bucket = F.pmod(F.xxhash64(F.lit(entity_id)), F.lit(buckets))
             base = base.where((F.col("bucket") == bucket) & (F.col(ident) == F.lit(entity_id)))
+        if ids is not None:
+            base = base.join(asked, ident, "left_semi")
         kept = base.select(ident, *rest).join(last.select(ident), ident, "left_anti")
         return kept.unionByName(last)
 
@@ -110,18 +116,19 @@ class Lake:
         columns: list[str] | None = None,
         before: int | None = None,
         entity_id: str | None = None,
+        ids: DataFrame | None = None,
     ) -> DataFrame:
-        """The live rows of a layer, as of the epochs before ``before`` if given."""
+        """The live rows of a layer, as of the epochs before ``before`` if given, of all or some ids."""
         names = self.spec.table_schema.names if columns is None else columns
-        return self._rows(layer, names, before, entity_id).where(F.col("op") == "U").select(*names)
+        return self._rows(layer, names, before, entity_id, ids).where(F.col("op") == "U").select(*names)
 
-    def versions(self, before: int | None = None) -> DataFrame:
+    def versions(self, before: int | None = None, ids: DataFrame | None = None) -> DataFrame:
         """J2's input: id and stored version, two columns of silver.
 
         Under ``versioned`` deletes the tombstones answer too (D10).
         """
         names = [self.spec.id_field, "event_version"]
-        rows = self._rows("silver", names, before, None)
+        rows = self._rows("silver", names, before, None, ids)
         if self.spec.delete_policy != "versioned":
             rows = rows.where(F.col("op") == "U")
         return rows.select(*names)
@@ -183,8 +190,8 @@ class Lake:
             df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
-    def epoch_base(self, stream_id: str) -> int:
-        """First lake epoch of a stream.
+    def epoch_base(self, stream_id: str, written: tuple[str, ...] = (), prefix: str = "epoch=") -> int:
+        """First epoch of a stream that writes below the folders ``written`` (the lake's judged epochs by default).
 
         Batch numbers restart at 0 with a new checkpoint; the base keeps a new
         stream from overwriting the epochs of an older one.
@@ -194,10 +201,10 @@ class Lake:
         if known:
             return min(known)
         newest = -1
-        staged = self.path("staging", "judged")
-        for n in storage.children(self.spark, staged):
-            if n.startswith("epoch="):
-                newest = max(newest, int(n[6:]))
+        for where in written or (self.path("staging", "judged"),):
+            for n in storage.children(self.spark, where):
+                if n.startswith(prefix):
+                    newest = max(newest, int(n[len(prefix) :]))
         storage.make_dirs(self.spark, f"{home}/base={newest + 1}")
         return newest + 1
 

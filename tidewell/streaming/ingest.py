@@ -12,13 +12,18 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewell.functions.envelope import FieldKey
 from tidewell.model import DomainSpec
 from tidewell.operators import outcomes
-from tidewell.operators.enrich import BROADCAST_IDS
+from tidewell.operators.enrich import are_few
 from tidewell.operators.redrive import to_messages
 from tidewell.plans.ingest import Outputs, judge, outputs_of, survivors
 from tidewell.sources.feed import TRIGGER_SECONDS
 from tidewell.sources.lake import Lake
 
 
+def stream_name(session: SparkSession, checkpoint: str) -> str:
+    """What a query keeps over restarts: its id, which its checkpoint holds."""
+    return (session.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint).replace("/", "_")
+
+
 def ready_messages(ready: DataFrame) -> DataFrame:
     """Notices as JSON without a key."""
     return ready.select(
@@ -43,9 +48,10 @@ def ingest_epoch(
     events = survivors(feed, spec).persist(StorageLevel.MEMORY_AND_DISK)
     settled = None
     try:
-        n = events.count()
-        staged = lake.stage(judge(events, source, spec, key, n), "judged", epoch)
-        settled = outcomes.settle(staged, lake.versions(epoch), spec, few=n <= BROADCAST_IDS)
+        few = are_few(events, spec.id_field)
+        staged = lake.stage(judge(events, source, spec, key, few), "judged", epoch)
+        asked = staged.where(F.col("row_id").isNotNull()).select("row_id") if few else None
+        settled = outcomes.settle(staged, lake.versions(epoch, asked), spec, few=few)
         settled = settled.persist(StorageLevel.MEMORY_AND_DISK)
         out = outputs_of(settled, spec)
         changes = outcomes.changes(settled, spec)
@@ -84,9 +90,9 @@ def run_ingest(
 
     def batch(df: DataFrame, batch_id: int) -> None:
         session = df.sparkSession
-        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        stream = stream_name(session, checkpoint)
         if stream not in base:
-            base[stream] = lake.epoch_base(stream.replace("/", "_"))
+            base[stream] = lake.epoch_base(stream)
         ingest_epoch(spec, df, source(session), lake, key, base[stream] + batch_id)
 
     writer = feed.writeStream.foreachBatch(batch).outputMode("update").queryName(f"{spec.name}-ingest")

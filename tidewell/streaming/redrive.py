@@ -12,6 +12,7 @@ from tidewell.operators import redrive as R
 from tidewell.sources import storage
 from tidewell.sources.feed import TRIGGER_SECONDS, as_feed
 from tidewell.sources.lake import Lake
+from tidewell.streaming.ingest import stream_name
 
 #: A letter's place in its feed is its identity.
 PLACE = ("partition", "offset")
@@ -43,13 +44,21 @@ def run_redrive(
     """Judge each dead letter once; the checkpoint remembers how far it has read.
 
     Letters to retry go to ``redrive/waiting``, all others to ``redrive/parked``.
+    Epochs of a new checkpoint are numbered after those already there, so they
+    replace nothing; a letter read again is released once.
     """
+    base: dict[str, int] = {}
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        stream = stream_name(df.sparkSession, checkpoint)
+        if stream not in base:
+            kept = tuple(lake.path("redrive", name) for name in ("waiting", "parked"))
+            base[stream] = lake.epoch_base(f"redrive-{stream}", kept, "epoch_id=")
+        epoch = base[stream] + batch_id
         judged = R.classify(R.from_messages(df, PLACE), spec)
         waiting = judged.where(F.col("outcome") == R.REDRIVEN)
-        _overwrite_epoch(waiting, lake.path("redrive", "waiting"), batch_id)
-        _overwrite_epoch(R.parked(judged), lake.path("redrive", "parked"), batch_id)
+        _overwrite_epoch(waiting, lake.path("redrive", "waiting"), epoch)
+        _overwrite_epoch(R.parked(judged), lake.path("redrive", "parked"), epoch)
 
     writer = letters.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if available_now:
@@ -80,6 +89,7 @@ def release_due(
     due = (
         judged_letters(spark, lake, "waiting")
         .where(F.col("not_before") <= now)
+        .dropDuplicates(list(PLACE))
         .join(sent.select(*PLACE), list(PLACE), "left_anti")
     )
     # what is due is decided once, so the feed and the ledger cannot disagree
