@@ -47,6 +47,14 @@ def test_furniture_inside_and_around():
     assert text(page) == "First words of it.\nLast words of it."
 
 
+def test_marks_end_where_their_elements_do():
+    page = (
+        "<div class='page has-sidebar'><article><p class=notice>This is a notice for you.<p>First words.<ul><li class=ad>Buy now"
+        "<li>One thing</ul><p>Last words.</article></div>"
+    )
+    assert text(page) == "First words.\nOne thing\nLast words."
+
+
 def plain(page):
     article = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
     parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:h1|p)>", article)]

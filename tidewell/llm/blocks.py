@@ -32,6 +32,8 @@ FURNITURE_WORDS = {
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 ARTICLE = {"article", "main"}
+#: Elements of one block, mostly; the next one ends them.
+LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dt", "dd"}
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
     "in_article", "in_furniture", "heading",
@@ -55,9 +57,11 @@ def _furniture(name: str, attrs: str, in_article: bool) -> bool:
     if name in ARTICLE or name in ("html", "body"):
         return False
     for found in _CLASSED.finditer(attrs):
-        value = (found[1] or found[2] or found[3] or "").lower()
-        if FURNITURE_WORDS.intersection(re.split(r"[^a-z]+", value)):
-            return not (in_article and name == "header")
+        for token in (found[1] or found[2] or found[3] or "").lower().split():
+            words = set(re.split(r"[^a-z]+", token))
+            # "has-sidebar" speaks of something else
+            if FURNITURE_WORDS & words and not {"has", "with", "no", "without"} & words:
+                return not (in_article and name == "header")
     return False
 
 
@@ -119,14 +123,13 @@ def blocks(page: str) -> list[Block]:
             places = [i for i, s in enumerate(stack) if s[0] == name]
             if places:
                 del stack[places[-1] :]
-        elif name not in VOID and name not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dt", "dd"):
-            in_article, furniture = here()
-            inside = in_article or name in ARTICLE
-            stack.append((name, inside, furniture or _furniture(name, tag["attrs"], in_article)))
         elif name not in VOID:
+            if stack and (stack[-1][0] == "p" or (stack[-1][0] == name and name in LEAVES)):
+                stack.pop()
             in_article, furniture = here()
-            if not furniture and _furniture(name, tag["attrs"], in_article):
-                stack.append((name, in_article, True))
+            marked = furniture or _furniture(name, tag["attrs"], in_article)
+            if name not in LEAVES or marked > furniture:
+                stack.append((name, in_article or name in ARTICLE, marked))
     close()
     return found
 
