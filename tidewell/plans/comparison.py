@@ -122,6 +122,11 @@ met AS (
     max(grp) OVER (PARTITION BY mail_id) AS last_grp
   FROM grouped)"""
 
+# the same history in three epochs: the days of the month in thirds
+_THIRDS = _FOLD.replace(
+    "date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))", "(day(ts) - 1) // 11"
+)
+
 _STALE = f"""WITH {_FOLD}
 SELECT epoch_id, mail_id, event_version, current_version,
        'stale event dropped: incoming_version=' || CAST(event_version AS VARCHAR)
@@ -225,6 +230,22 @@ final AS (
 SELECT f.mail_id, r.clean_title AS title, {_clean('r.body')} AS body, r.sender, coalesce(r.sender_name, '') AS sender_name,
        r.receiver, coalesce(r.cc, '') AS cc, FALSE AS read_yn, f.event_version, strftime(f.occurred_at, {_MICROS}) AS occurred_at
 FROM final f JOIN ruled r ON f.mail_id = r.mail_id""",
+    "lake_gold": f"""WITH {_THIRDS},
+final AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY mail_id ORDER BY event_version DESC, epoch_id DESC) AS rn
+    FROM met WHERE action = 'UPSERT' AND grp = last_grp) WHERE rn = 1)
+SELECT f.mail_id, r.clean_title AS title, md5({_clean('r.body')}) AS body_md5, r.sender, r.receiver, f.event_version,
+       strftime(f.occurred_at, {_MICROS}) AS occurred_at
+FROM final f JOIN ruled r ON f.mail_id = r.mail_id""",
+    "lake_quarantine": f"""WITH {_THIRDS}
+SELECT w.epoch_id, w.mail_id, CASE WHEN r.mail_id IS NULL THEN 'supply response error: not found' ELSE r.fault END
+  AS validation_error
+FROM winners w LEFT JOIN ruled r ON w.mail_id = r.mail_id
+WHERE w.action = 'UPSERT' AND (r.mail_id IS NULL OR r.fault IS NOT NULL)
+UNION ALL SELECT epoch_id, mail_id, 'stale event dropped: incoming_version=' || CAST(event_version AS VARCHAR)
+  || ', current_version=' || CAST(current_version AS VARCHAR)
+FROM met WHERE action = 'UPSERT' AND event_version < current_version""",
     "upsert_merge": f"""WITH {_ORDERS}
 SELECT * FROM stored WHERE o_custkey NOT IN (SELECT o_custkey FROM incoming) UNION ALL SELECT * FROM incoming""",
     "delete_apply": f"""WITH {_ORDERS}

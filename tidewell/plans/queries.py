@@ -11,6 +11,8 @@ field is spoiled (``SPOILED``), so that every message occurs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from tidewell.operators.latest import latest_per_key
 from tidewell.plans import history
 from tidewell.plans.ingest import process
 from tidewell.session import prepare
+from tidewell.sources.lake import Lake
+from tidewell.sources.storage import shared_dir
+from tidewell.streaming.ingest import ingest_epoch
 
 EPOCH_ZERO = "1970-01-01"
 CONSUMERS = ("click", "view", "signup", "purchase", "error")
@@ -307,6 +312,33 @@ def gold_state(spark, sf_dir):
     )
 
 
+def _replayed(spark, sf_dir) -> Lake:
+    """All events as three epochs through a lake of its own: the days of the month in thirds, whatever the month."""
+    root = f"{shared_dir(spark).rstrip('/')}/lakes/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    lake, records = Lake(spark, root, MAIL).ensure(), source(spark, sf_dir)
+    third = F.floor((F.dayofmonth("timestamp") - 1) / 11)
+    for epoch in range(3):
+        events = feed(spark, sf_dir).where(third == epoch).drop("epoch_id")
+        ingest_epoch(MAIL, events, records, lake, QUERY_KEY, epoch)
+        if epoch == 1:
+            lake.compact(epoch)
+    return lake
+
+
+def lake_gold(spark, sf_dir):
+    """The gold layer after three epochs, one of them compacted."""
+    rows = decrypt_fields(_replayed(spark, sf_dir).state("gold"), MAIL.personal, {QUERY_KEY.key_id: QUERY_KEY})
+    return rows.select(
+        "mail_id", "title", F.md5(F.col("body").cast("binary")).alias("body_md5"), "sender", "receiver",
+        "event_version", micros_text(F.col("occurred_at")).alias("occurred_at"),
+    )
+
+
+def lake_quarantine(spark, sf_dir):
+    """What three epochs set aside."""
+    return _replayed(spark, sf_dir).quarantine().select("epoch_id", "mail_id", "validation_error")
+
+
 def _split_orders(spark, sf_dir):
     """Orders before and from a turning day on: what is stored, and what comes in."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
@@ -606,7 +638,7 @@ QUERIES = {
     for f in (
         parse_events, parse_moments, delete_ids, enrich_claim_check, validate_reasons, refine_pages, refine_docs, tagged_docs, mime_docs,
         whitespace_docs, protect_roundtrip, stale_events, stale_events_in_runs, gold_state,
-        upsert_merge, delete_apply, quarantine_union, ready_notices, accepted_rows, batch_metrics,
+        lake_gold, lake_quarantine, upsert_merge, delete_apply, quarantine_union, ready_notices, accepted_rows, batch_metrics,
         epoch_counts, dlq_outcomes, redriven_events, parked_letters, serve_view, serve_lookup,
         fanout_topics, subscriber_records, ready_with_gold, consumer_receipts, slow_receipts,
         received_counts, last_n_per_consumer, latest_mail_groups, peak_concurrency, kpi_summary,
