@@ -464,6 +464,16 @@ def test_scores(docs, nothing, monkeypatch, words_kept, symbols):
     assert rows(scoring.score(nothing)) == []
 
 
+@pytest.mark.parametrize("grams_kept", [0, 40, 900])
+def test_scores_do_not_depend_on_the_grams_kept(docs, grams_kept):
+    lower = [(i, (t or "").translate({c: c + 32 for c in range(65, 91)}).encode()) for i, t in texts()]
+    train = [t for i, t in lower if zlib.crc32(str("" if i is None else i).encode()) % 10]
+    want = sorted(((i, plain_ppm(train, t, 3)) for i, t in lower), key=repr)
+    got = rows(scoring.score(docs, order=3, grams_kept=grams_kept).select("doc_id", "score"))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-9)
+
+
 def test_a_smaller_trie_still_sums_to_one():
     grams = np.concatenate([ppm.grams(prose(k, 50).encode(), 3) for k in range(5)])
     counted = []

@@ -30,7 +30,7 @@ def _mask(symbols: int) -> np.uint64:
     return np.uint64((1 << BITS * symbols) - 1)
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of keys in a sorted table, and whether they are there."""
     at = np.searchsorted(table, keys)
     at[at == len(table)] = 0
@@ -63,8 +63,8 @@ class Trie:
             # what is left one order below once this context's symbols are excluded
             if order:
                 low_keys, low_counts, low_contexts, low_total, low_kinds = lower
-                shared = low_counts[_find(low_keys, keys & _mask(order))[0]]
-                parent = _find(low_contexts, contexts & _mask(order - 1))[0]
+                shared = low_counts[find(low_keys, keys & _mask(order))[0]]
+                parent = find(low_contexts, contexts & _mask(order - 1))[0]
                 rest = low_total[parent] - (np.add.reduceat(shared, first) if len(keys) else 0)
                 rest_kinds = low_kinds[parent] - kinds
                 weight = np.maximum(rest + rest_kinds, 1)
@@ -89,14 +89,14 @@ class Trie:
         escape = np.zeros(len(packed))
         for order in range(self.order, -1, -1):
             keys = packed[open_] & _mask(order + 1)
-            at, found = _find(self.grams[order], keys)
+            at, found = find(self.grams[order], keys)
             hit, place = open_[found], at[found]
             fresh = np.isnan(denominator[hit])
             out[hit] += np.where(fresh, self.gram_top[order][place], self.gram_log[order][place] - denominator[hit])
             open_, keys = open_[~found], keys[~found]
             if not len(open_):
                 return out
-            at, known = _find(self.contexts[order], keys >> np.uint64(BITS))
+            at, known = find(self.contexts[order], keys >> np.uint64(BITS))
             here, place = open_[known], at[known]
             fresh = np.isnan(denominator[here])
             out[here] += np.where(fresh, self.escape[order][place], escape[here])
