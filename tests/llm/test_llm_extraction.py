@@ -55,6 +55,37 @@ def test_marks_end_where_their_elements_do():
     assert text(page) == "First words.\nOne thing\nLast words."
 
 
+LONG = "Many people came down to the river that day and waited for the boats until it was dark and cold. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form id=aspnetForm><nav><a href=/>Home</a></nav><main><h1>Title here</h1><p>{}</p></main></form></body>",
+        "<body><div class='page-header widget'><article><h1>Title here</h1><p>{}</p></article></div></body>",
+        "<body><form id=aspnetForm><nav><a href=/>Home</a></nav><div><h1>Title here</h1><p>{0}</p><p>{0}</p></div></form></body>",
+    ],
+)
+def test_marks_around_the_article_end_at_it(page):
+    found = text(page.format(LONG))
+    assert LONG.strip() in found and "Home" not in found
+
+
+def test_articles_in_comments_stay_furniture():
+    page = "<main><p>First words of it.</p></main><div id=comments><article><p>I like this very much, thank you all.</p></article></div>"
+    assert text(page) == "First words of it."
+
+
+@pytest.mark.parametrize("name", ["object", "canvas", "audio", "video", "svg", "select", "iframe", "template", "noscript"])
+def test_a_missing_end_tag_does_not_end_the_page(name):
+    assert text(f"<article><p>First words.</p><{name}><p>Last words.</p></article>").endswith("Last words.")
+
+
+def test_formulas_are_read():
+    page = "<article><p>Here <math><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow></math> holds.</p></article>"
+    assert text(page) == "Here a=2 holds."
+
+
 def plain(page):
     article = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
     parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:h1|p)>", article)]

@@ -36,6 +36,15 @@ EXAMPLES = (
         "<div id='comments'><h3>W2</h3><p>W25</p><p>W33</p></div></body>",
         "0 0 111 000",
     ),
+    # a form around the whole page, a marked element around the article
+    (
+        "<body><form id=aspnetForm><nav><a href=/>W2</a></nav><main><h1>W5</h1><p>W40</p><p>W6</p></main><footer>W9</footer></form></body>",
+        "0 111 0",
+    ),
+    (
+        "<body><div class='page-header widget'><article><h1>W4</h1><p>W7</p><p>W50</p></article></div><div class=ad>W12</div></body>",
+        "111 0",
+    ),
     # furniture inside the article element
     (
         "<article><header><h1>W5</h1></header><p>W30</p><div class='share'><a href=1>W1</a> W2</div><p>W44</p><p>W1</p>"
