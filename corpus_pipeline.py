@@ -29,9 +29,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the strings of 400 bytes that start anywhere else too."""
+    """Every document, without the strings of 51 words, or of 400 bytes, that start anywhere else too."""
     settle(spark)
-    return suffix.remove_repeats(docs, window=400)
+    return suffix.remove_repeats(docs, window=400, words=51)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,6 +328,35 @@ def test_suffix_removal(spark, monkeypatch, most):
     assert rows(suffix.digest(df.where("false"), 100)) == []
 
 
+def without_repeats(texts, window, words):
+    """Texts without the repeated strings of ``window`` bytes or of so many words."""
+    data = [t.encode() for t in texts]
+    pieces = []
+    for k, b in enumerate(data):
+        pieces += [(k, i, i + window) for i in range(len(b) - window + 1)]
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        pieces += [(k, x[0], y[1]) for x, y in zip(at, at[words - 1 :], strict=False)]
+    count = Counter((data[k][a:b], b - a == window) for k, a, b in set(pieces))
+    gone = [np.zeros(len(b), bool) for b in data]
+    for k, a, b in set(pieces):
+        if count[data[k][a:b], b - a == window] > 1:
+            gone[k][a:b] = True
+    return [bytes(np.frombuffer(b, np.uint8)[~g]).decode(errors="ignore") for b, g in zip(data, gone, strict=True)]
+
+
+def test_short_passages_of_many_words_are_removed(spark):
+    passage, other = " ".join("ab cd efg h".split() * 13)[:-2], prose(11, 51)
+    assert len(passage.split()) == 51 and len(passage) < 400
+    texts = [f"{prose(20, 60)} {passage} {prose(21, 60)}", f"{prose(22, 9)}\n{passage}\n{prose(23, 70)}", f"{other} end", f"begin {other}"]
+    texts += [" ".join(prose(12, 51).split()[:50]) + f" {k}" for k in range(2)] + ["x" * 450 + f" {k}" for k in range(2)]
+    texts += [prose(13, 40) + " é", prose(13, 40) + " é", "", "a b " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(0) for c in CLASHES})
+    got = {r.doc_id: r.text for r in suffix.remove_repeats(df, 400, 51).collect()}
+    want = without_repeats(texts, 400, 51)
+    assert [got[k] for k in range(len(texts))] == want
+    assert passage not in got[0] + got[1] and got[2] == " end" and got[4] == texts[4] and "xxx" not in got[6]
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     monkeypatch.setattr(anchors, "AT_ONCE", 64)
     text = prose(8, 200).encode()

@@ -29,7 +29,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     least, length = values, 1
     while 2 * length <= width:
         least = np.minimum(least[:-length], least[length:])
@@ -72,7 +72,7 @@ def anchor_runs(data: bytes, valid: np.ndarray, window: int) -> tuple[np.ndarray
     places = np.arange(len(hashes), dtype=np.uint64)
     # the place in the low bits: among equal hashes the last one is smallest
     keys = (hashes & ~_PLACES) | (_PLACES - places)
-    least = _sliding_min(keys, window - GRAM + 1)
+    least = sliding_min(keys, window - GRAM + 1)
     place = (_PLACES - (least & _PLACES)).astype(np.int64)
     starts = np.flatnonzero(valid[: len(place)])
     place = place[starts]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.anchors import anchor_runs, segments
 from tidewell.llm.columns import only
+from tidewell.llm.passages import passage_spans
 from tidewell.llm.runindex import RunIndex
 from tidewell.sources.storage import cut_lineage
 
@@ -260,9 +261,13 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _with_spans(docs: DataFrame, window: int) -> DataFrame:
+def _with_spans(docs: DataFrame, window: int, words: int | None = None) -> DataFrame:
     keyed = _keyed(docs)
     spans = repeated_spans(keyed.select("k1", "k2", "text"), window)
+    if words is not None:
+        long = F.transform("spans", lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
+        both = spans.select("k1", "k2", long.alias("spans")).union(passage_spans(keyed.select("k1", "k2", "text"), words))
+        spans = both.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return keyed.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
 
 
@@ -296,14 +301,15 @@ def digest(docs: DataFrame, window: int = 400) -> DataFrame:
     return rows.select("doc_id", "text", "spans").mapInArrow(run, _DIGEST)
 
 
-def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 400, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``, and its ``n_chars``; all rows and columns stay.
 
+    With ``words``, strings of so many words that start anywhere else go too, however short they are.
     A character of which some bytes go, goes as a whole.
     """
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), "doc_id", "text")
-    rows = _with_spans(rows, window)
+    rows = _with_spans(rows, window, words)
 
     @F.pandas_udf("string")
     def kept(texts, spans):
