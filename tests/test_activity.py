@@ -111,9 +111,8 @@ def test_s20_filter_reaches_the_files(spark, tmp_path):
 def test_j6_misses_stay(spark):
     ready = spark.createDataFrame([("1", "ready"), ("2", "deleted")], "mail_id string, status string")
     rows = gold(spark, [{"mail_id": "1", "title": "t"}])
-    for count in (None, 2):
-        got = serving.notices_with_rows(ready, rows, MAIL, count).collect()
-        assert {r.mail_id: (r.title, r.error) for r in got} == {"1": ("t", None), "2": (None, "mail_id not found: 2")}
+    got = serving.notices_with_rows(ready, rows, MAIL).collect()
+    assert {r.mail_id: (r.title, r.error) for r in got} == {"1": ("t", None), "2": (None, "mail_id not found: 2")}
 
 
 def test_s16_s17_s19_messages(spark):

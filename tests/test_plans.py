@@ -3,11 +3,13 @@
 import json
 
 import pytest
-from helpers import feed, source
+from helpers import feed, source, versions
 
 from tidewell.domains.mail import MAIL
+from tidewell.operators import enrich
 from tidewell.operators.latest import latest_per_key
 from tidewell.operators.parse import parse_feed, usable
+from tidewell.plans import ingest
 from tidewell.plans import queries as Q
 from tidewell.plans.ingest import judge, survivors
 from tidewell.sources import storage
@@ -42,6 +44,19 @@ def test_few_ids_travel_to_the_source(spark, key, tmp_path):
     assert "EvalPython" not in text
 
 
+@pytest.mark.parametrize("limit", [0, enrich.BROADCAST_BYTES])
+def test_a_batch_broadcasts_ids_only_within_the_limit(spark, key, monkeypatch, limit):
+    asked = []
+    real = ingest.judge
+    monkeypatch.setattr(enrich, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(ingest, "judge", lambda *a, **k: asked.append(a[4]) or real(*a, **k))
+    messages = feed(spark, [json.dumps({"mail_id": str(i)}) for i in range(20)])
+    out = ingest.process(MAIL, messages, source(spark, {"1": {}}), versions(spark, {}), key)
+    assert asked == [limit > 0]
+    # both forms find the same
+    assert [r.mail_id for r in out.accepted.collect()] == ["1"]
+
+
 def test_folds_move_no_payload(spark):
     for rows in (Q.latest_event(spark, DATA), Q._winners(spark, DATA)):
         assert not any("payload_json" in line for line in plan(rows).splitlines() if "Aggregate" in line or "Exchange" in line)

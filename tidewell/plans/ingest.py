@@ -140,5 +140,5 @@ def process(
     output a second look at the source.
     """
     events = materialize(survivors(feed, spec))
-    judged = materialize(judge(events, source, spec, key, events.count()))
+    judged = materialize(judge(events, source, spec, key, enrich.are_few(events, spec.id_field)))
     return outputs_of(outcomes.settle(judged, versions, spec), spec)
