@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import extraction, packing, quality, records, scoring, simhash, suffix, topk, transducer, urls
+from tidewell.llm import (
+    alignment,
+    conversations,
+    extraction,
+    languages,
+    packing,
+    quality,
+    records,
+    scoring,
+    simhash,
+    suffix,
+    topk,
+    transducer,
+    urls,
+)
 from tidewell.llm.comparison import SQL  # noqa: F401
 from tidewell.session import prepare
 
@@ -72,4 +86,32 @@ def op10_lm_scoring(spark, sf_dir):
     return scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_simhash, op4_url_filter, op5_quality_rules, op6_token_records, op7_suffix_dedup, op8_top_k, op9_sentencepiece, op10_lm_scoring)}
+def op11_language_id(spark, sf_dir):
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark, sf_dir):
+    byte_bpe, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.link_table(table(spark, sf_dir, "documents"), byte_bpe, pieces)
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.digest(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+_REGISTERED = (
+    op1_packing,
+    op2_html_extraction,
+    op3_simhash,
+    op4_url_filter,
+    op5_quality_rules,
+    op6_token_records,
+    op7_suffix_dedup,
+    op8_top_k,
+    op9_sentencepiece,
+    op10_lm_scoring,
+    op11_language_id,
+    op12_alignment,
+    op13_conversation_repair,
+)
+QUERIES = {f.__name__: f for f in _REGISTERED}
