@@ -196,6 +196,9 @@ SQL = {
     "refine_pages": f"""WITH texts AS (SELECT page_id, url, {_PAGE_TEXT} AS t FROM pages)
 SELECT page_id, url, {_clean(_decoded("t"))} AS plain FROM texts""",
     "mime_docs": f"SELECT doc_id, md5({_clean('text')}) AS text_md5 FROM documents",
+    "deep_mime_docs": rf"""SELECT doc_id, md5({_clean("greeting || ' ' || regexp_replace(text, '[^\x00-\x7F]', '', 'g')")}) AS text_md5
+FROM (SELECT *, CASE lang WHEN 'en' THEN '안녕하세요' WHEN 'fr' THEN 'こんにちは' WHEN 'es' THEN '日本' ELSE 'Привет' END AS greeting
+      FROM documents)""",
     "tagged_docs": f"""SELECT doc_id, md5({_clean("text || ' if (a < b) { } <©'")}) AS text_md5 FROM documents""",
     "parse_events": f"""WITH {_DAMAGED}
 SELECT event_id, mail_id, action, event_version, strftime(occurred_at, {_MICROS}) AS occurred_at, parse_error

@@ -265,6 +265,40 @@ def mime_docs(spark, sf_dir):
     return _refined_md5(docs, wrapped)
 
 
+def deep_mime_docs(spark, sf_dir):
+    """Documents as mails of several levels, in other character sets or below long headers; the language decides.
+
+    Texts are cut to ASCII, which all those character sets share, and greet in
+    the language of the set.
+    """
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"), "lang")
+
+    def part(kind: str, charset: str, greeting: str) -> Column:
+        said = F.concat(F.lit(greeting + " "), F.col("text") if kind == "text/plain" else _escaped(F.col("text")))
+        packed = F.base64(F.call_function("encode", said, F.lit(charset)))
+        head = f"Content-Type: {kind}; charset={charset}\nContent-Transfer-Encoding: base64\n\n"
+        return F.concat(F.lit(head), packed)
+
+    def nested(levels: int, inner: Column) -> Column:
+        """Each level holds a picture, the next level, and another picture."""
+        picture = F.lit("Content-Type: image/png\n\nx")
+        for k in range(levels):
+            line = F.lit(f"--=_{k}\n")
+            pieces = [c for p in (picture, inner, picture) for c in (line, p, F.lit("\n"))]
+            inner = F.concat(F.lit(f'Content-Type: multipart/mixed;\n boundary="=_{k}"\n\n'), *pieces, F.lit(f"--=_{k}--\n"))
+        return F.concat(F.lit("MIME-Version: 1.0\n"), inner)
+
+    receivers = "To: " + ",\n ".join(f"receiver-{k}@x.example" for k in range(400)) + "\n"
+    wrapped = (
+        F.when(F.col("lang") == "en", nested(3, part("text/plain", "EUC-KR", "안녕하세요")))
+        .when(F.col("lang") == "fr", nested(5, part("text/html", "Shift_JIS", "<p>こんにちは</p>")))
+        .when(F.col("lang") == "es", F.concat(F.lit("MIME-Version: 1.0\n" + receivers), part("text/plain", "ISO-2022-JP", "日本")))
+        .otherwise(F.concat(F.lit("MIME-Version: 1.0\n" + receivers), nested(3, part("text/plain", "KOI8-R", "Привет"))))
+    )
+    return _refined_md5(docs, wrapped)
+
+
 def whitespace_docs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.md5(collapse_space(F.col("text")).cast("binary")).alias("text_md5"))
@@ -636,7 +670,7 @@ def list_records(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_events, parse_moments, delete_ids, enrich_claim_check, validate_reasons, refine_pages, refine_docs, tagged_docs, mime_docs,
+        parse_events, parse_moments, delete_ids, enrich_claim_check, validate_reasons, refine_pages, refine_docs, tagged_docs, mime_docs, deep_mime_docs,
         whitespace_docs, protect_roundtrip, stale_events, stale_events_in_runs, gold_state,
         lake_gold, lake_quarantine, upsert_merge, delete_apply, quarantine_union, ready_notices, accepted_rows, batch_metrics,
         epoch_counts, dlq_outcomes, redriven_events, parked_letters, serve_view, serve_lookup,
