@@ -149,7 +149,9 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, root: str) -> Da
     repeated rows are repeated records; other columns are not read; an empty
     table gives shards without records or none.
     """
-    ordered = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one id may be dealt to several shards, in an order that their texts give
+    tie = F.xxhash64("text")
+    ordered = only(docs, "doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     return cut_lineage(ordered.mapInArrow(_write(root, tokenizer, end_id), _SHARD))
 
 
@@ -175,11 +177,15 @@ def _digest(root: str):
 def digest_records(manifest: DataFrame, root: str) -> DataFrame:
     """Read every shard back: ``doc_id, start, n_tokens, ids_crc32`` per record.
 
-    Only the manifest, one row per shard, is ordered in one place.
+    Only the manifest, one row per shard, is ordered in one place; the shards
+    are dealt out evenly, a few to a task.
     """
+    n_shards = max(1, manifest.count())
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = manifest.where("n_records > 0").select("path", before.alias("before"))
-    return shards.repartition("path").mapInArrow(
+    shards = manifest.where("n_records > 0").select(F.col("shard"), "path", before.alias("before"))
+    # a given number of partitions is kept, where the planner would join the small manifest into one task
+    dealt = shards.repartitionByRange(n_shards, "shard").select("path", "before")
+    return dealt.mapInArrow(
         _digest(root), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
