@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -138,6 +139,21 @@ def test_records(spark, docs, nothing, plain_ids, tmp_path):
     assert rows(records.digest_records(empty, root)) == []
 
 
+def test_shards_are_read_by_as_many_tasks(spark, tmp_path):
+    rows_of_one_id = spark.range(400).selectExpr("cast(null AS long) AS doc_id", "concat('text ', id) AS text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = records.write_records(rows_of_one_id, registered.word_tokenizer(), 2, f"file://{tmp_path}/shards")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert manifest.count() >= 3  # one id does not keep all its rows in one shard
+    got = records.digest_records(manifest, f"file://{tmp_path}/shards")
+    assert got.rdd.getNumPartitions() == manifest.count()
+    assert got.select(F.spark_partition_id()).distinct().count() >= 2
+    starts = sorted((r.start, r.n_tokens) for r in got.collect())
+    assert len(starts) == 400 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
 def test_damaged_records_are_noticed(tmp_path):
     fs, base = records.FileSystem.from_uri(f"file://{tmp_path}")
     path = f"{base}/part-0"
@@ -305,7 +321,7 @@ def plain_digest(data, window):
             if count[b[k : k + window]] > 1:
                 gone[k + 1 : k + 1 + window] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone[1 : len(b) + 1]])
-        out.append((i, len(b), len(b) - len(kept), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(b), len(b) - len(kept), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
     return sorted(out, key=repr)
 
 
@@ -325,9 +341,24 @@ def test_suffix_removal(spark, monkeypatch, most):
     assert rows(suffix.digest(df, 100)) == want
     cleaned = suffix.remove_repeats(df, 100)
     assert cleaned.columns == df.columns and cleaned.count() == df.count()
+    texts_left = [(r.doc_id, r.text or "") for r in cleaned.collect()]
+    assert sorted(texts_left, key=repr) == sorted(((r[0], r[-1]) for r in want), key=repr)
     assert rows(suffix.digest(df.where("false"), 100)) == []
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_thousands_of_equal_rows_are_one_text(spark, doc_id):
+    text, other = prose(31, 500), prose(32, 90)
+    df = spark.createDataFrame([(doc_id, text)] * 5000 + [(1, other + text[:700]), (2, other[:300])], "doc_id long, text string")
+    started = time.monotonic()
+    got = {r.n_bytes: r for r in suffix.digest(df, 400).distinct().collect()}
+    assert time.monotonic() - started < 60
+    n = len(text.encode())
+    assert (got[n].n_removed, got[n].n_spans, got[n].text) == (n, 1, "")
+    partly = got[len((other + text[:700]).encode())]
+    assert partly.text == other and len(got) == 3
+
+
 def without_repeats(texts, window, words):
     """Texts without the repeated strings of ``window`` bytes or of so many words."""
     data = [t.encode() for t in texts]

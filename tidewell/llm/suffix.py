@@ -261,9 +261,27 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
+def _once_each(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One of each kind of equal rows, and those of them that occur again (``k1, k2, text``).
+
+    Counting the keys costs one slim shuffle; only texts that do occur again are moved.
+    """
+    rows = keyed.select("k1", "k2", "text")
+    again = cut_lineage(rows.groupBy("k1", "k2").agg(F.count("*").alias("m")).where("m > 1").select("k1", "k2"))
+    copies = rows.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    copies = cut_lineage(copies)
+    return rows.join(again, ["k1", "k2"], "left_anti").union(copies), copies
+
+
 def _with_spans(docs: DataFrame, window: int, words: int | None = None) -> DataFrame:
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed.select("k1", "k2", "text"), window)
+    once, copies = _once_each(keyed)
+    # a text that occurs again goes as a whole
+    n_bytes = F.octet_length("text")
+    whole = copies.where(n_bytes >= window).select(
+        "k1", "k2", F.array(F.struct(F.lit(0).alias("start"), n_bytes.alias("end"))).alias("spans")
+    )
+    spans = repeated_spans(once, window).join(whole, ["k1", "k2"], "left_anti").union(whole)
     if words is not None:
         long = F.transform("spans", lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
         both = spans.select("k1", "k2", long.alias("spans")).union(passage_spans(keyed.select("k1", "k2", "text"), words))
@@ -271,17 +289,18 @@ def _with_spans(docs: DataFrame, window: int, words: int | None = None) -> DataF
     return keyed.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
 
 
-_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def digest(docs: DataFrame, window: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row of ``docs(doc_id, text)``.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, text`` per row of ``docs(doc_id, text)``.
 
     A byte goes if a string of ``window`` bytes that covers it also starts
     anywhere else, in the same document or another; matches do not cross
     documents and are judged on the input.  Null texts count as empty; texts
-    shorter than the window are kept; repeated rows remove each other; rows
-    with null ids are rows like any other; other columns are not read.
+    shorter than the window are kept; repeated rows remove each other, however many there are; rows
+    with null ids are rows like any other; other columns are not read.  ``text`` is what is left, less the
+    rest of characters that were cut in two.
     """
     schema = _arrow(_DIGEST)
 
@@ -293,7 +312,7 @@ def digest(docs: DataFrame, window: int = 400) -> DataFrame:
                 data = text.as_py() or b""
                 runs = merged([(s["start"], s["end"]) for s in spans or ()])
                 kept = cut_out(data, runs)
-                rows.append((doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+                rows.append((doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
