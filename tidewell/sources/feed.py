@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.model import FEED_SCHEMA
+from tidewell.sources import publications
 
 # Stream defaults.
 MAX_PER_TRIGGER = 5000
@@ -35,6 +36,19 @@ def stream_topic(
     return reader.options(**options).load().select(*FEED_SCHEMA.names)
 
 
+def stream_feed(spark: SparkSession, path: str, max_per_trigger: int = MAX_PER_TRIGGER) -> DataFrame:
+    """S1/S4 from the publications in a folder: at most so many events a batch, whatever the sizes of files."""
+    publications.register(spark)
+    reader = spark.readStream.format(publications.FORMAT).option("path", path)
+    return reader.option("maxEvents", str(max_per_trigger)).load()
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """All complete publications of a folder."""
+    publications.register(spark)
+    return spark.read.format(publications.FORMAT).option("path", path).load()
+
+
 def stream_folder(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
@@ -71,9 +85,22 @@ def as_feed(messages: DataFrame, batch: int | None = None) -> DataFrame:
     )
 
 
-def publish(messages: DataFrame, path: str, batch: int | None = None) -> None:
-    """Append messages to a feed folder."""
-    as_feed(messages, batch).write.mode("append").parquet(path)
+def next_batch(path: str) -> int:
+    """A number for the next publication: the clock's, but above all that are there."""
+    return max(int(time.time()), publications.Feed(path).newest() + 1)
+
+
+def publish(messages: DataFrame, path: str, batch: int | None = None) -> int:
+    """Write messages as one publication of a feed and return its number.
+
+    Publishing a number again adds nothing, so a step that was interrupted can
+    be run again.  Without a number the feed should have one writer.
+    """
+    publications.register(messages.sparkSession)
+    number = next_batch(path) if batch is None else batch
+    writer = as_feed(messages, number).write.format(publications.FORMAT).mode("append")
+    writer.option("path", path).option("batch", str(number)).save()
+    return number
 
 
 def list_records(source: DataFrame) -> DataFrame:

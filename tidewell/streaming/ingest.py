@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from tidewell.operators import outcomes
 from tidewell.operators.enrich import are_few
 from tidewell.operators.redrive import to_messages
 from tidewell.plans.ingest import Outputs, judge, outputs_of, survivors
-from tidewell.sources.feed import TRIGGER_SECONDS
+from tidewell.sources.feed import TRIGGER_SECONDS, publish
 from tidewell.sources.lake import Lake
 
 
@@ -24,6 +25,17 @@ def stream_name(session: SparkSession, checkpoint: str) -> str:
     return (session.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint).replace("/", "_")
 
 
+def drain(query: StreamingQuery) -> None:
+    """Let a query read all that its source has, batch by batch, and stop it.
+
+    For sources that admit by events, of which one batch is not all there is.
+    """
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def ready_messages(ready: DataFrame) -> DataFrame:
     """Notices as JSON without a key."""
     return ready.select(
@@ -32,6 +44,34 @@ def ready_messages(ready: DataFrame) -> DataFrame:
     )
 
 
+#: Takes the messages of one epoch; the same epoch may come again with the same messages.
+Sink = Callable[[DataFrame, int], object]
+
+
+def lake_sinks(lake: Lake) -> dict[str, Sink]:
+    """Notices and dead letters as folders of the lake."""
+    return {name: partial(_to_lake, lake, name) for name in ("ready", "dlq")}
+
+
+def _to_lake(lake: Lake, name: str, messages: DataFrame, epoch: int) -> None:
+    lake.write_messages(messages, name, epoch)
+
+
+def feed_sink(path: str) -> Sink:
+    """Messages as publications of a feed, one an epoch; an epoch that is there already is left alone."""
+    return lambda messages, epoch: publish(messages, path, epoch)
+
+
+def topic_sink(servers: str, topic: str, **options: str) -> Sink:
+    """Messages to a broker's topic; needs the connector on the class path.  Replays repeat messages there."""
+
+    def send(messages: DataFrame, epoch: int) -> None:
+        writer = messages.write.format("kafka").option("kafka.bootstrap.servers", servers)
+        writer.option("topic", topic).options(**options).save()
+
+    return send
+
+
 def ingest_epoch(
     spec: DomainSpec,
     feed: DataFrame,
@@ -39,12 +79,15 @@ def ingest_epoch(
     lake: Lake,
     key: FieldKey,
     epoch: int,
+    sinks: Mapping[str, Sink] | None = None,
 ) -> Outputs:
     """Run one epoch to the end: tables first, then dead letters, then notices.
 
     State is read as of the epochs before this one, so a replay sees the same
-    input and writes the same rows.
+    input and writes the same rows.  ``sinks`` says where the messages
+    ``ready`` and ``dlq`` go, if not to the lake's folders.
     """
+    send = lake_sinks(lake) | dict(sinks or {})
     events = survivors(feed, spec).persist(StorageLevel.MEMORY_AND_DISK)
     settled = None
     try:
@@ -59,8 +102,8 @@ def ingest_epoch(
             lake.write_changes(changes, epoch, layer)
         lake.write_quarantine(out.quarantine, epoch)
         if spec.dlq_topic:
-            lake.write_messages(to_messages(out.dead_letters), "dlq", epoch)
-        lake.write_messages(ready_messages(out.ready), "ready", epoch)
+            send["dlq"](to_messages(out.dead_letters), epoch)
+        send["ready"](ready_messages(out.ready), epoch)
         lake.write_metrics(out.metrics, epoch)
         return out
     finally:
@@ -79,6 +122,7 @@ def run_ingest(
     checkpoint: str,
     trigger_seconds: int = TRIGGER_SECONDS,
     available_now: bool = False,
+    sinks: Mapping[str, Sink] | None = None,
 ) -> StreamingQuery:
     """Start the ingest of one domain.
 
@@ -93,7 +137,7 @@ def run_ingest(
         stream = stream_name(session, checkpoint)
         if stream not in base:
             base[stream] = lake.epoch_base(stream)
-        ingest_epoch(spec, df, source(session), lake, key, base[stream] + batch_id)
+        ingest_epoch(spec, df, source(session), lake, key, base[stream] + batch_id, sinks)
 
     writer = feed.writeStream.foreachBatch(batch).outputMode("update").queryName(f"{spec.name}-ingest")
     writer = writer.option("checkpointLocation", checkpoint)
