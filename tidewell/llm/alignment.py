@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from tidewell.sources.storage import cut_lineage
 
 #: Units a worker remembers, in each of two generations; longer ones are not remembered.
-MOST_UNITS, LONGEST = 400_000, 64
+MOST_UNITS, LONGEST = 600_000, 64
+#: Units encoded, and characters of texts parted, at once.
+_AT_ONCE, _CHARS_AT_ONCE = 2000, 1 << 20
 #: Id pairs whose counts go to every worker, in front of the join that serves all others.
 MOST_PAIRS = 1 << 20
 #: Entries a task holds before it hands its counts on.
@@ -71,6 +73,14 @@ def refine(data: bytes, spans: list[tuple[int, int]], decoded: list[bytes]) -> l
     return ends if at == len(data) else None
 
 
+def _ends(spans: np.ndarray, decoded: list[bytes]) -> np.ndarray:
+    """``refine`` for whole columns: where a span is as long as its decoded bytes its end stands."""
+    sizes = np.fromiter(map(len, decoded), np.int64, len(decoded))
+    ends = np.cumsum(sizes)
+    coarse = (spans[:, 1] - spans[:, 0] == sizes) & (spans[:, 0] == ends - sizes)
+    return np.where(coarse, spans[:, 1], ends)
+
+
 class Aligner:
     """Aligns texts unit by unit; a unit is a stretch that no token of either tokenizer crosses.
 
@@ -97,25 +107,30 @@ class Aligner:
         self._units = re.compile(r"(?<=\S)(?=[ \n])") if parted else None
         self._stops = parted and not any(re.search(r"[^\W\d_][.,]", p) for p in inner)
         self._lead = [self._b.piece_to_id(_SPACE), self._b.piece_to_id("<0x0A>")]
+        self._shown = [str(i) for i in range(max(len(pieces), max(self.a_bytes) + 1))]
         self._known: dict[str, tuple | None] = {}
         self._before: dict[str, tuple | None] = {}
 
-    def _encode(self, unit: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
-        """Ids and byte ends of a unit's tokens, of A and of B; None if either's bytes are not the unit's."""
-        data = unit.encode()
-        found = self._a.encode(unit, add_special_tokens=False)
-        a_ids, spans = found.ids, found.offsets
-        if len(data) > len(unit):
-            at = [0, *accumulate(len(c.encode()) for c in unit)]
-            spans = [(at[s], at[e]) for s, e in spans]
-        a_ends = refine(data, spans, [self.a_bytes.get(i, b"") for i in a_ids])
+    def _encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
+        """Per unit, ids and byte ends of its tokens, of A and of B; None if either's bytes are not the unit's."""
         # B puts a space before its input: a line feed keeps that apart from the unit
-        pieces = [(p.id, p.begin - 1, p.end - 1) for p in self._b.encode("\n" + unit, return_type="proto").pieces]
-        if [i for i, _, _ in pieces[:2]] != self._lead:
-            return None
-        b_ids = [i for i, _, _ in pieces[2:]]
-        b_ends = refine(data, [(begin, end) for _, begin, end in pieces[2:]], [self.b_bytes[i] for i in b_ids])
-        return None if a_ends is None or b_ends is None else (a_ids, a_ends, b_ids, b_ends)
+        read = self._b.encode(["\n" + u for u in units], return_type="proto", num_threads=1)
+        of_a, of_b, lead = self.a_bytes, self.b_bytes, self._lead
+        for unit, proto in zip(units, read, strict=True):
+            data = unit.encode()
+            found = self._a.encode(unit, add_special_tokens=False)
+            a_ids, a_spans = found.ids, found.offsets
+            if len(data) > len(unit):
+                at = [0, *accumulate(len(c.encode()) for c in unit)]
+                a_spans = [(at[s], at[e]) for s, e in a_spans]
+            pieces = [(p.id, p.begin - 1, p.end - 1) for p in proto.pieces]
+            if [i for i, _, _ in pieces[:2]] != lead:
+                yield None
+                continue
+            b_ids = [i for i, _, _ in pieces[2:]]
+            a_ends = refine(data, a_spans, [of_a.get(i, b"") for i in a_ids])
+            b_ends = refine(data, [(begin, end) for _, begin, end in pieces[2:]], [of_b[i] for i in b_ids])
+            yield None if a_ends is None or b_ends is None else (a_ids, a_ends, b_ids, b_ends)
 
     @staticmethod
     def _cut(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Iterator[tuple[list, list, int]]:
@@ -131,34 +146,93 @@ class Aligner:
                 yield a_ids[i:at_i], b_ids[j:at_j], a_ends[at_i - 1]
                 i, j = at_i, at_j
 
-    def _digest(self, unit: str) -> tuple | None:
-        found = self._encode(unit)
+    def _digest(self, found: tuple[list[int], list[int], list[int], list[int]] | None) -> tuple | None:
+        """``(tokens of A, of B, groups, their text, the linked ids)`` of an encoded unit."""
         if found is None:
             return None
-        texts, links = [], []
+        texts, links, shown = [], [], self._shown
         for a, b, _ in self._cut(*found):
-            texts.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+            texts.append(f"{','.join([shown[i] for i in a])}|{','.join([shown[i] for i in b])}")
             links.append(a[-1] << 32 | b[-1])  # tokens that end together: the last of A and of B in each group
         return len(found[0]), len(found[2]), len(links), ";".join(texts), array("q", links).tobytes()
 
-    def _learn(self, unit: str) -> tuple | None:
-        """``(tokens of A, of B, groups, their text, the linked ids)`` of a unit."""
-        if unit in self._before:
-            found = self._before[unit]
-        elif self._stops and unit[-1:] in (".", ",") and unit[-2:-1].isalpha():
-            # both tokenizers part a letter from a stop: two units that are often known already
-            word, stop = self._look_up(unit[:-1]), self._look_up(unit[-1])
-            found = word and stop and (*(x + y for x, y in zip(word[:3], stop[:3], strict=True)), f"{word[3]};{stop[3]}", word[4] + stop[4])
-        else:
-            found = self._digest(unit)
-        if len(unit) <= LONGEST:
-            if len(self._known) >= MOST_UNITS:
-                self._known, self._before = {}, self._known
-            self._known[unit] = found
-        return found
-
-    def _look_up(self, unit: str) -> tuple | None:
-        return self._known.get(unit) or self._learn(unit)
+    def _digests(self, units: list[str]) -> list[tuple | None]:
+        """``_digest`` of units, read as one text where they can follow one another in it.
+
+        The spans of both tokenizers are laid against the decoded bytes as whole columns: an
+        end that its span and the bytes give alike is a coarse cut, any other follows from the bytes.
+        """
+        laid = "".join(units)
+        if self._units is None or self._units.split(laid) != units:
+            return list(map(self._digest, self._encode(units)))
+        data = laid.encode()
+        found = self._a.encode(laid, add_special_tokens=False)
+        pieces = self._b.encode("\n" + laid, return_type="proto").pieces
+        spans_b = np.array([(p.id, p.begin, p.end) for p in pieces], np.int64)
+        a_ids, b_ids = found.ids, spans_b[2:, 0].tolist()
+        decoded_a, decoded_b = [self.a_bytes.get(i, b"") for i in a_ids], [self.b_bytes[i] for i in b_ids]
+        sizes = np.frombuffer(laid.encode("utf-32-le"), np.uint32)
+        sizes = 1 + (sizes >= 0x80) + (sizes >= 0x800) + (sizes >= 0x10000)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        ends_a = _ends(at[np.array(found.offsets, np.int64).reshape(-1, 2)], decoded_a)
+        ends_b = _ends(spans_b[2:, 1:] - 1, decoded_b)
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        bounds = np.cumsum([len(u.encode()) for u in units])
+        lead = spans_b[:2, 0].tolist() == self._lead
+        if not lead or b"".join(decoded_a) != data or b"".join(decoded_b) != data or not np.isin(bounds, common).all():
+            return list(map(self._digest, self._encode(units)))
+        cuts_a = (np.searchsorted(ends_a, common) + 1).tolist()
+        cuts_b = (np.searchsorted(ends_b, common) + 1).tolist()
+        of_unit = (np.searchsorted(common, bounds) + 1).tolist()
+        links = (np.array(a_ids)[np.array(cuts_a) - 1] << 32) | np.array(b_ids)[np.array(cuts_b) - 1]
+        shown_a, shown_b = [self._shown[i] for i in a_ids], [self._shown[i] for i in b_ids]
+        texts, i, j = [], 0, 0
+        for to_a, to_b in zip(cuts_a, cuts_b, strict=True):
+            texts.append(f"{','.join(shown_a[i:to_a])}|{','.join(shown_b[j:to_b])}")
+            i, j = to_a, to_b
+        out, group, i, j = [], 0, 0, 0
+        for last in of_unit:
+            to_a, to_b = cuts_a[last - 1], cuts_b[last - 1]
+            out.append((to_a - i, to_b - j, last - group, ";".join(texts[group:last]), links[group:last].tobytes()))
+            group, i, j = last, to_a, to_b
+        return out
+
+    def _learn(self, units: set[str]) -> None:
+        """Look up all units that are not known yet; those of the generation before are taken over."""
+        if len(self._known) >= MOST_UNITS:
+            self._known, self._before = {}, self._known
+        known, before = self._known, self._before
+        missing = units - known.keys()
+        old = missing & before.keys()
+        known.update((u, before[u]) for u in old)
+        missing -= old
+        # both tokenizers part a letter from a stop: such units are two, that are often known already
+        joint = {u for u in missing if u[-1] in ".," and u[-2:-1].isalpha()} if self._stops else set()
+        parts = {p for u in joint for p in (u[:-1], u[-1])} - known.keys() - missing
+        old = parts & before.keys()
+        known.update((u, before[u]) for u in old)
+        single = [*(missing - joint), *(parts - old)]
+        for at in range(0, len(single), _AT_ONCE):
+            some = single[at : at + _AT_ONCE]
+            known.update(zip(some, self._digests(some), strict=True))
+        for unit in joint:
+            word, stop = known.get(unit[:-1]), known[unit[-1]]
+            if word is None and unit[:-1] not in known:  # "ab.." and the like
+                (found,) = self._encode([unit])
+                known[unit] = self._digest(found)
+                continue
+            known[unit] = word and stop and (
+                word[0] + stop[0], word[1] + stop[1], word[2] + stop[2], f"{word[3]};{stop[3]}", word[4] + stop[4]
+            )
+
+    def _forget(self, units: set[str]) -> None:
+        """Back to the bounds of the memory."""
+        known = self._known
+        for unit in units:
+            if len(unit) > LONGEST:
+                known.pop(unit, None)
+        while len(known) > MOST_UNITS:
+            known.popitem()
 
     def _parts(self, text: str) -> Iterable[str]:
         """The units of a space and a text."""
@@ -174,8 +248,7 @@ class Aligner:
         """Groups over the bytes of a space and the text; none for null, empty and unlike texts."""
         out: list[Group] = []
         before = 0
-        for unit in self._parts(text) if text else ():
-            found = self._encode(unit)
+        for found in self._encode(list(self._parts(text))) if text else ():
             if found is None:
                 return []
             start = before
@@ -186,19 +259,35 @@ class Aligner:
         return out
 
     def summary(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
-        """``n_a, n_b, n_groups, groups as text, links``; zeros and nothing for null, empty and unlike texts."""
+        return next(self.summaries([text]))
+
+    def summaries(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        """Per text ``n_a, n_b, n_groups, groups as text, links``; zeros and nothing for null, empty and unlike texts."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text or "")
+            if size >= _CHARS_AT_ONCE:
+                yield from self._summaries(some)
+                some, size = [], 0
+        yield from self._summaries(some)
+
+    def _summaries(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
         none = 0, 0, 0, "", np.empty(0, np.int64)
-        if not text:
-            return none
-        known, learn, found = self._known, self._learn, []
-        for line in self._lines(text):
-            parts = [known.get(unit) or learn(unit) for unit in line]
-            if None in parts:
-                return none
-            known = self._known
-            found += parts
-        n_a, n_b, n_groups, texts, links = zip(*found, strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), ";".join(texts), np.frombuffer(b"".join(links), np.int64)
+        parted = [[u for line in self._lines(t) for u in line] if t else [] for t in texts]
+        units = set().union(*parted)
+        self._learn(units)
+        known, out = self._known, []
+        for own in parted:
+            found = [known[u] for u in own]
+            if not found or None in found:
+                out.append(none)
+                continue
+            n_a, n_b, n_groups, shown, links = zip(*found, strict=True)
+            links = np.frombuffer(b"".join(links), np.int64)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(shown), links))
+        self._forget(units)
+        return out
 
     def _lines(self, text: str) -> Iterator[Iterable[str]]:
         """The units of a space and a text, line by line where each line is words between single spaces."""
@@ -257,8 +346,8 @@ def _documents(a_path: str, b_path: str):
         of, row = aligner(a_path, b_path), TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):
-                n_a, n_b, n_groups, groups, links = of.summary(text.as_py())
+            for doc_id, found in zip(batch[0].to_pylist(), of.summaries(t.as_py() for t in batch[1]), strict=True):
+                n_a, n_b, n_groups, groups, links = found
                 pairs, times = np.unique(links, return_counts=True)
                 sha = hashlib.sha256(groups.encode()).hexdigest() if n_groups else ""
                 rows.append((row, doc_id, n_a, n_b, n_groups, len(links), sha, pairs.tobytes(), times.astype("<u4").tobytes()))
