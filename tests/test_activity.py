@@ -10,7 +10,7 @@ from helpers import source
 from pyspark.sql import functions as F
 
 from tidewell.domains.mail import MAIL
-from tidewell.operators import activity, fanout, merge, serving
+from tidewell.operators import activity, fanout, merge, scan, serving
 from tidewell.sources.feed import as_feed, list_records
 
 T0 = datetime(2025, 1, 1)
@@ -25,8 +25,19 @@ def sweep(rows):
     return peak
 
 
-@pytest.mark.parametrize("bucket", [1, 60, 3600, 10**7])
-def test_a5_peak(spark, bucket):
+@pytest.fixture(params=[1, 4, 40])
+def partitions(spark, request):
+    """So many ranges, however few the rows."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, (str(request.param), "false"), strict=True):
+        spark.conf.set(n, v)
+    yield request.param
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)
+
+
+def test_a5_peak(spark, partitions):
     rng = random.Random(2)
     rows = []
     for who in ("a", "b"):
@@ -35,12 +46,41 @@ def test_a5_peak(spark, bucket):
             rows.append((who, start, start + timedelta(seconds=rng.choice([0, 1, 30, 900]))))
     rows.append(("single", T0, T0))
     df = spark.createDataFrame(rows, "who string, s timestamp, e timestamp")
-    got = {r.who: r for r in activity.concurrency(df, ["who"], "s", "e", bucket).collect()}
+    got = {r.who: r for r in activity.concurrency(df, ["who"], "s", "e").collect()}
     for who in ("a", "b", "single"):
         mine = [(s, e) for w, s, e in rows if w == who]
         assert (got[who].total_requests, got[who].peak_active) == (len(mine), max(0, sweep(mine)))
 
 
+def test_a5_a_busy_hour_is_spread(spark, partitions):
+    """All requests of one service within a quarter of an hour."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(4000):
+        start = T0 + timedelta(milliseconds=rng.randrange(900_000))
+        rows.append(("hot", start, start + timedelta(milliseconds=rng.randrange(1, 60_000))))
+    df = spark.createDataFrame(rows, "who string, s timestamp, e timestamp")
+    (got,) = activity.concurrency(df, ["who"], "s", "e").collect()
+    assert (got.total_requests, got.peak_active) == (4000, sweep([r[1:] for r in rows]))
+    sizes = [r["count"] for r in scan.in_runs(df, ["who"], "s").groupBy(scan.RUN).count().collect()]
+    assert len(sizes) == partitions and max(sizes) <= 2 * 4000 / partitions
+
+
+def test_j6_late_readers_get_the_row_of_the_notice(spark):
+    log = [("a", 1, "U", "first"), ("a", 3, "D", None), ("a", 3, "U", "second"), ("a", 7, "D", None), ("b", 2, "U", "other")]
+    told = [("a", 1, "ready"), ("a", 2, "ready"), ("a", 3, "ready"), ("a", 5, "ready"), ("a", 7, "deleted"), ("b", 1, "ready"), ("c", 9, "ready"), (None, 4, "ready"), ("a", 5, "ready")]
+    changes = spark.createDataFrame([(i, e, op, t, 0) for i, e, op, t in log], "mail_id string, epoch_id bigint, op string, title string, span bigint")
+    ready = spark.createDataFrame(told, "mail_id string, epoch_id bigint, status string")
+    rows = serving.notices_as_of(ready, changes, MAIL)
+    assert rows.columns == ["mail_id", "epoch_id", "status", "title", "error"]
+    got = sorted(((r.mail_id, r.epoch_id, r.title, r.error) for r in rows.collect()), key=repr)
+    miss = "mail_id not found: "
+    assert got == sorted(
+        [("a", 1, "first", None), ("a", 2, "first", None), ("a", 3, "second", None), ("a", 5, "second", None), ("a", 5, "second", None),
+         ("a", 7, None, miss + "a"), ("b", 1, None, miss + "b"), ("c", 9, None, miss + "c"), (None, 4, None, miss)], key=repr
+    )
+
+
 def test_a6_l4_receipts(spark):
     rows = [("m1", "search", 0.5, 1), ("m1", "search", 0.1, 2), ("m1", "mobile", 0.49, 3), ("m2", "graph", None, 4), ("m3", "graph", 2.0, 5)]
     df = spark.createDataFrame(rows, "mail_id string, consumer string, delay double, seen int")

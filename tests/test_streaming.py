@@ -1,6 +1,7 @@
 """The pipeline end to end on folders."""
 
 import json
+import re
 
 import pytest
 from helpers import source
@@ -10,11 +11,11 @@ from tidewell.domains.mail import MAIL
 from tidewell.functions import rules as R
 from tidewell.model import DomainSpec
 from tidewell.sources import storage
-from tidewell.sources.feed import as_feed, publish, stream_folder
+from tidewell.sources.feed import as_feed, publish, read_feed, stream_feed, stream_folder
 from tidewell.sources.lake import Lake, check_table_round_trip
 from tidewell.streaming.consumers import received, subscribe
-from tidewell.streaming.ingest import ingest_epoch, run_ingest
-from tidewell.streaming.redrive import judged_letters, release_due, run_redrive
+from tidewell.streaming.ingest import drain, ingest_epoch, run_ingest
+from tidewell.streaming.redrive import due_letters, judged_letters, release_due, run_redrive
 
 
 def event(ident, version=0, action="x", **more):
@@ -243,6 +244,51 @@ def test_m8_a_new_redrive_checkpoint_replaces_nothing(spark, lake, key, tmp_path
     assert spark.read.parquet(sent).count() == 2  # each letter once
 
 
+def test_m2_m8_a_message_delivered_again_two_batches_later_enters_one_epoch(spark, lake, key, tmp_path):
+    where = str(tmp_path / "feed")
+    first = as_feed(messages(spark, [event("a", 1), event("b", 1)]), 1)
+    first.coalesce(1).write.parquet(f"{where}/1")
+    rows = [as_feed(messages(spark, [event("c", 1)]), 2), spark.read.parquet(f"{where}/1").where("value LIKE '%\"a\"%'"), as_feed(messages(spark, [event("a", 1)]), 4)]
+    for k, df in enumerate(rows):
+        df.coalesce(1).write.parquet(f"{where}/{k + 2}")
+    start = lambda feed, cp, to, **more: run(run_ingest(spark, MAIL, feed, lambda s: source(s, {c: {} for c in "abc"}), to, key, str(tmp_path / cp), available_now=True, **more))
+    start(stream_folder(spark, where, 1), "cp", lake, once_within="1 hour")
+    # the fourth file holds a new message that says the same, which is no repeat
+    assert [r.events for r in lake.metrics().where("events > 0").orderBy("epoch_id").collect()] == [2, 1, 1]
+    assert lake.metrics().agg(F.sum("events")).first()[0] == 4
+
+
+def letter(ident, moment, error="fetch failed: timeout"):
+    body = {"timestamp": moment, "adapter_source": "s", "entity_id": ident, "action": "UPSERT", "payload_json": {"mail_id": ident},
+            "raw_mail_json": None, "validation_error": error, "retry_count": 0}
+    return json.dumps(body)
+
+
+def test_m6_a_release_reads_the_buckets_that_came_due(spark, lake, tmp_path):
+    feed, sent = str(tmp_path / "dlq"), str(tmp_path / "sent")
+    at = lambda seconds: F.timestamp_seconds(F.lit(seconds))
+    judge = lambda: drain(run_redrive(stream_feed(spark, feed), lake, MAIL, str(tmp_path / "cp")))
+    out = lambda: sorted(json.loads(bytes(r.value))["mail_id"] for r in read_feed(spark, sent).collect())
+    publish(messages(spark, [letter(f"a{k}", 600 * k) for k in range(5)] + [letter("no", 0, "title is required")]), feed, 1)
+    judge()
+    release_due(spark, lake, MAIL, sent, 1, at(610))
+    assert out() == ["a0", "a1"]  # due five seconds after 0 and 600
+    # a letter of a later epoch that was due long ago is found, one seen before is not sent again
+    publish(messages(spark, [letter("b", 30), letter("c", 1830)]), feed, 2)
+    judge()
+    since = (610 // 60, 0)
+    plan = due_letters(spark, lake, at(1260), since)._jdf.queryExecution().executedPlan().toString()
+    pruned = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "due#" in pruned and "<= 21" in pruned and ">= 10" in pruned and "epoch_id#" in pruned and "> 0" in pruned
+    for _ in range(2):  # run again, as after a crash
+        release_due(spark, lake, MAIL, sent, 2, at(1260))
+        assert out() == ["a0", "a1", "a2", "b"]
+    release_due(spark, lake, MAIL, sent, 3, at(1260))
+    release_due(spark, lake, MAIL, sent, 4, at(99_999))
+    assert out() == ["a0", "a1", "a2", "a3", "a4", "b", "c"]
+    assert len(storage.children(spark, sent)) == 3  # a release of nothing publishes nothing
+
+
 def test_state_of_some_ids_reads_only_those(spark, lake, key):
     step(spark, lake, key, 0, [event(c, 1) for c in "abcd"], {c: {} for c in "abcd"})
     lake.compact(0)

@@ -7,6 +7,7 @@ import pytest
 from helpers import feed, source
 
 from tidewell.domains.mail import MAIL
+from tidewell.operators import scan
 from tidewell.operators.versions import final_state, fold_versions, stale_rows
 from tidewell.plans import history as H
 
@@ -104,3 +105,36 @@ def test_gold_state_plan_matches_epoch_by_epoch_replay(spark):
 def test_renamed_records_are_found(spark):
     src = source(spark, {"a": {"id": "b"}, "c": {}})
     assert [tuple(r) for r in H.renamed_records(src, MAIL).collect()] == [("a", "b")]
+
+
+def test_w3_one_id_is_spread_over_tasks(spark):
+    """All rows in one id: runs, and so tasks, share it; the outcome is that of a walk along the epochs."""
+    rng = random.Random(8)
+    rows = [("hot", e, rng.choice(["UPSERT", "UPSERT", "UPSERT", "DELETE"]), rng.randrange(50)) for e in range(3000)]
+    df = spark.createDataFrame(rows, "mail_id string, epoch_id bigint, action string, event_version bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = scan.in_runs(df, ["mail_id"], "epoch_id").groupBy(scan.RUN).count().collect()
+        got = {r.epoch_id: (r.delete_count, r.current_version) for r in fold_versions(df, MAIL).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(runs) > 1 and max(r["count"] for r in runs) < 2000
+    deletes, best, want = 0, None, {}
+    for _, epoch, action, version in rows:
+        if action == "DELETE":
+            deletes, best = deletes + 1, None
+        want[epoch] = (deletes, best)
+        if action == "UPSERT":
+            best = version if best is None else max(best, version)
+    assert got == want
+
+
+def test_as_of_finds_the_last_place_before(spark):
+    rng = random.Random(3)
+    left = [(rng.choice(["a", "b", "hot", "hot", "hot", "none"]), rng.randrange(400)) for _ in range(900)]
+    right = [(rng.choice(["a", "b", "hot", "hot"]), rng.randrange(400)) for _ in range(150)]
+    frames = [spark.createDataFrame(x, "k string, t bigint") for x in (left, right)]
+    got = {(r.k, r.t): r.found for r in scan.as_of(*frames, "k", "t").collect()}
+    assert got == {(k, t): max((u for j, u in right if j == k and u <= t), default=None) for k, t in left}
+    assert scan.as_of(frames[0].where("false"), frames[1], "k", "t").collect() == []
+    assert {r.found for r in scan.as_of(frames[0], frames[1].where("false"), "k", "t").collect()} == {None}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.operators import scan
+
 SLOW_SECONDS = 0.5
 
 
@@ -16,15 +18,13 @@ def received_counts(receipts: DataFrame, consumer: str = "consumer") -> DataFram
     return receipts.groupBy(consumer).agg(F.count("*").alias("received_count"))
 
 
-def concurrency(
-    intervals: DataFrame, by: Sequence[str], start: str, end: str, bucket_seconds: int = 3600
-) -> DataFrame:
+def concurrency(intervals: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
     """A5: request total and peak of requests started and not yet finished.
 
     At equal times an end counts before a start, so only the net change of an
     instant matters: instants are summed before the shuffle.  The running sum
-    is then taken inside time buckets, and the buckets of a group are chained
-    by their totals, so a busy group is spread over its buckets.
+    is then taken inside runs of instants, ranges of their distribution, and the runs of a group are chained
+    by their totals, so a busy group is spread out however short its busy time.
     """
     by = list(by)
     ends = F.explode(
@@ -35,26 +35,20 @@ def concurrency(
     )
     instants = (
         intervals.select(*by, ends.alias("e"))
-        .select(
-            *by,
-            F.floor(F.unix_micros("e.at") / F.lit(bucket_seconds * 1_000_000)).alias("bucket"),
-            "e.at",
-            "e.d",
-            "e.s",
-        )
-        .groupBy(*by, "bucket", "at")
-        .agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
+        .groupBy(*by, F.col("e.at").alias("at"))
+        .agg(F.sum("e.d").alias("d"), F.sum("e.s").alias("s"))
     )
-    inside = W.partitionBy(*by, "bucket").orderBy("at")
-    buckets = (
-        instants.withColumn("run", F.sum("d").over(inside))
-        .groupBy(*by, "bucket")
+    inside = W.partitionBy(*by, scan.RUN).orderBy("at")
+    runs = (
+        scan.in_runs(instants, by, "at")
+        .withColumn("run", F.sum("d").over(inside))
+        .groupBy(*by, scan.RUN)
         .agg(F.max("run").alias("high"), F.sum("d").alias("d"), F.sum("s").alias("s"))
     )
-    chain = W.partitionBy(*by).orderBy("bucket")
+    chain = W.partitionBy(*by).orderBy(scan.RUN)
     before = F.sum("d").over(chain) - F.col("d")
     return (
-        buckets.withColumn("level", before + F.col("high"))
+        runs.withColumn("level", before + F.col("high"))
         .groupBy(*by)
         .agg(F.sum("s").alias("total_requests"), F.max("level").alias("peak_active"))
     )

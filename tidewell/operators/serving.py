@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions.coerce import iso_text, text
 from tidewell.model import DomainSpec
+from tidewell.operators import scan
 
 
 def serve_view(gold: DataFrame, spec: DomainSpec) -> DataFrame:
@@ -55,6 +56,31 @@ def notices_with_rows(
     )
 
 
+def notices_as_of(ready: DataFrame, log: DataFrame, spec: DomainSpec, epoch: str = "epoch_id") -> DataFrame:
+    """J6 for late readers: each notice with the row as it was when the notice was sent.
+
+    ``ready`` carries the epoch of each notice, ``log`` the changes of a layer
+    (``Lake.log``): schema S, ``op`` and the epoch.  The last change of the id up to that
+    epoch counts; a delete, or no change at all, is an error row.  The search moves ids and
+    epochs only; a row meets its notice by both.
+    """
+    ident = spec.id_field
+    asked = ready.select(ident).where(F.col(ident).isNotNull()).distinct()
+    mine = log.join(asked, ident, "left_semi")
+    found = scan.as_of(ready.where(F.col(ident).isNotNull()), mine, ident, epoch)
+    rest = [c for c in log.columns if c not in (ident, epoch, "span")]
+    # inside one epoch deletes run before upserts, so the upsert is the later one
+    last = mine.groupBy(ident, F.col(epoch).alias("found")).agg(F.max_by(F.struct(*rest), F.col("op") == "U").alias("_r"))
+    met = ready.join(found, [ident, epoch], "left").join(last, [ident, "found"], "left")
+    live = F.coalesce(F.col("_r.op") == "U", F.lit(False))
+    miss = F.concat(F.lit(f"{ident} not found: "), F.coalesce(ident, F.lit("")))
+    return met.select(
+        *ready.columns,
+        *(F.when(live, F.col(f"_r.{c}")).alias(c) for c in rest if c != "op"),
+        F.when(~live, miss).alias("error"),
+    )
+
+
 def _allowed(
     requests: DataFrame, credentials: DataFrame, memberships: DataFrame, routes: DataFrame
 ) -> DataFrame:

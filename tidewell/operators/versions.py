@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.model import DomainSpec
+from tidewell.operators import scan
+from tidewell.sources.storage import cut_lineage
 
 
 def stale_message(incoming: Column, current: Column) -> Column:
@@ -49,26 +51,23 @@ def fold_versions(
     meets: the highest version since the last delete.  Rejected rows are lower
     than that by definition, so a running maximum over all rows is exact.
 
-    Without ``block`` one task orders one id's epochs.  With ``block`` the
-    history of an id is cut into runs of that many epochs, the runs are folded
-    on their own, and only one summary row per run is ordered per id: neither
-    level then holds more than a run, or the number of runs.
+    The history of an id is cut into runs, ranges of (id, epoch) as rows are
+    distributed, or of ``block`` epochs if given.  A run is folded on its own
+    and leaves one summary, (deletes, best version since the last of them);
+    joining two of these is associative, and only an id's summaries are put side by
+    side, so an id of any length is spread over many tasks.
     """
-    ident = spec.id_field
+    ident, names = spec.id_field, history.columns
     gone = F.col("action") == "DELETE"
     version = F.when(~gone, F.col("event_version"))
     if block is None:
-        order = W.partitionBy(ident).orderBy(epoch)
-        counted = history.withColumn("delete_count", F.count(F.when(gone, True)).over(order))
-        since = W.partitionBy(ident, "delete_count").orderBy(epoch)
-        return counted.withColumn(
-            "current_version", F.max(version).over(since.rowsBetween(W.unboundedPreceding, -1))
-        )
+        # written, as the rows and their summaries must agree on the ranges
+        history = cut_lineage(scan.in_runs(history, [ident], epoch))
+    else:
+        history = history.withColumn("_run", F.floor(F.col(epoch) / F.lit(block)))
 
     run = W.partitionBy(ident, "_run").orderBy(epoch)
-    rows = history.withColumn("_run", F.floor(F.col(epoch) / F.lit(block))).withColumn(
-        "_deletes", F.count(F.when(gone, True)).over(run)
-    )
+    rows = history.withColumn("_deletes", F.count(F.when(gone, True)).over(run))
     since = W.partitionBy(ident, "_run", "_deletes").orderBy(epoch)
     rows = rows.withColumn(
         "_met", F.max(version).over(since.rowsBetween(W.unboundedPreceding, -1))
@@ -94,7 +93,7 @@ def fold_versions(
     joined = rows.join(carried, [ident, "_run"])
     met = F.when(F.col("_deletes") == 0, F.greatest("_met", "_carry")).otherwise(F.col("_met"))
     return joined.select(
-        *history.columns,
+        *names,
         (F.col("_before") + F.col("_deletes")).alias("delete_count"),
         met.alias("current_version"),
     )

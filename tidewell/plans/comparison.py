@@ -313,6 +313,14 @@ SELECT consumer, event_id, mail_id, CAST(position AS INTEGER) AS position FROM (
 SELECT mail_id, strftime(first_seen, {_MICROS}) AS first_seen, receipts FROM (
   SELECT mail_id, min(received_at) AS first_seen, count(*) AS receipts FROM receipts
   WHERE delay IS NOT NULL GROUP BY mail_id ORDER BY 2 DESC, 1 DESC LIMIT 10)""",
+    "ready_as_of": f"""WITH {_FEED},
+log AS (
+  SELECT mail_id, epoch_id, max(event_version) FILTER (event_type = 'purchase') AS event_version
+  FROM feed JOIN events USING (event_id) WHERE event_type IN ('purchase', 'error') GROUP BY mail_id, epoch_id)
+SELECT f.event_id, f.mail_id, f.epoch_id, l.event_version,
+       CASE WHEN l.event_version IS NULL THEN 'mail_id not found: ' || f.mail_id END AS error
+FROM (SELECT * FROM feed JOIN events USING (event_id) WHERE event_type = 'view') f
+ASOF LEFT JOIN log l ON f.mail_id = l.mail_id AND f.epoch_id >= l.epoch_id""",
     "peak_concurrency": """WITH ends AS (
   SELECT event_type, ts AS moment, 1 AS d FROM events
   UNION ALL SELECT event_type, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)), -1 FROM events),

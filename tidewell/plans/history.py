@@ -73,7 +73,6 @@ def stale_events(
     spec: DomainSpec,
     epoch: str = "epoch_id",
     block: int | None = None,
-    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Every upsert of the history the version check rejects, with its message.
 
@@ -81,8 +80,7 @@ def stale_events(
     folded as if all records were good and the ids of bad ones are dropped
     after; only records of ids with a stale event are judged.
     """
-    winners = materialize(epoch_winners(feed, spec, epoch))
-    stale = stale_rows(fold_versions(winners, spec, epoch, block))
+    stale = cut_lineage(stale_rows(fold_versions(epoch_winners(feed, spec, epoch), spec, epoch, block)))
     ids = stale.select(spec.id_field).distinct()
     asked = enrich.narrow_source(source, ids, spec.id_field, enrich.are_few(ids, spec.id_field))
     return stale.join(good_records(asked, spec).select(spec.id_field), spec.id_field, "left_semi")

@@ -570,6 +570,23 @@ def ready_with_gold(spark, sf_dir):
     return rows.select("event_id", "mail_id", "status", "title", "error")
 
 
+def ready_as_of(spark, sf_dir):
+    """Views as notices, each with the mail's row of its day, although the mail changed before and after.
+
+    A purchase stores a row with the highest number of the day, errors alone remove it.
+    """
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.col("user_id").cast("string").alias("mail_id"),
+        F.datediff(moment(), F.lit(EPOCH_ZERO)).cast("bigint").alias("epoch_id"), number_in_props().cast("bigint").alias("k"),
+    )
+    bought = F.col("event_type") == "purchase"
+    log = events.where(F.col("event_type").isin("purchase", "error")).groupBy("mail_id", "epoch_id").agg(
+        F.max(F.when(bought, F.col("k"))).alias("event_version"), F.when(F.bool_or(bought), "U").otherwise("D").alias("op")
+    )
+    told = events.where(F.col("event_type") == "view").select("event_id", "mail_id", "epoch_id")
+    return serving.notices_as_of(told, log, MAIL)
+
+
 def _receipts(spark, sf_dir):
     """Events read as receipts: the type is the consumer, the value a delay in hundredths."""
     return table(spark, sf_dir, "events").select(
@@ -674,7 +691,7 @@ QUERIES = {
         whitespace_docs, protect_roundtrip, stale_events, stale_events_in_runs, gold_state,
         lake_gold, lake_quarantine, upsert_merge, delete_apply, quarantine_union, ready_notices, accepted_rows, batch_metrics,
         epoch_counts, dlq_outcomes, redriven_events, parked_letters, serve_view, serve_lookup,
-        fanout_topics, subscriber_records, ready_with_gold, consumer_receipts, slow_receipts,
+        fanout_topics, subscriber_records, ready_with_gold, ready_as_of, consumer_receipts, slow_receipts,
         received_counts, last_n_per_consumer, latest_mail_groups, peak_concurrency, kpi_summary,
         log_union, entitlement, entitlement_refused, list_records,
     )

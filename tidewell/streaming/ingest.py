@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import partial
 
 from pyspark import StorageLevel
@@ -112,6 +112,16 @@ def ingest_epoch(
             settled.unpersist()
 
 
+def once(feed: DataFrame, within: str, by: Sequence[str] = ("partition", "offset")) -> DataFrame:
+    """M2/M8: each message of a stream once, also when it is delivered again some batches later.
+
+    ``by`` tells what makes a message the same one: its place, unless the
+    feed gives it an id.  Equal contents are no sign, as the same change may be sent twice on purpose.  The
+    places of the last ``within`` (by the feed's own time) are kept as state.
+    """
+    return feed.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(list(by))
+
+
 def run_ingest(
     spark: SparkSession,
     spec: DomainSpec,
@@ -123,13 +133,16 @@ def run_ingest(
     trigger_seconds: int = TRIGGER_SECONDS,
     available_now: bool = False,
     sinks: Mapping[str, Sink] | None = None,
+    once_within: str | None = None,
 ) -> StreamingQuery:
     """Start the ingest of one domain.
 
     ``source`` is called once per batch, so that each batch sees the source as
-    it is then.
+    it is then.  With ``once_within``, say "1 hour", messages that are delivered
+    again within that time are dropped (``once``).
     """
     lake.ensure()
+    feed = once(feed, once_within) if once_within else feed
     base: dict[str, int] = {}
 
     def batch(df: DataFrame, batch_id: int) -> None:
