@@ -59,14 +59,20 @@ def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def linked(first: np.ndarray, distance: int, second: np.ndarray | None = None) -> np.ndarray:
+def linked(
+    first: np.ndarray,
+    distance: int,
+    second: np.ndarray | None = None,
+    shade: tuple[int, np.ndarray, np.ndarray | None] | None = None,
+) -> np.ndarray:
     """Component labels of ``first`` (or ``first`` and ``second`` laid end to end).
 
     Two codes are linked if they differ in at most ``distance`` bits; with
     ``second`` given, only links between the two sides count.  A label is the
     smallest position in the component.  Pairs of nodes are walked from the
     top; a pair goes as soon as the bits both nodes share differ too often, or
-    once all their codes are in one component.
+    once all their codes are in one component.  ``shade`` gives a second distance, and second codes of
+    ``first`` and ``second``, that a link must keep too.
     """
     same = second is None
     left = GrayIndex(first)
@@ -74,6 +80,8 @@ def linked(first: np.ndarray, distance: int, second: np.ndarray | None = None) -
     place_l = left.order
     place_r = left.order if same else right.order + len(first)
     labels = np.arange(len(first) + (0 if same else len(second)))
+    if shade is not None:
+        shades = shade[1] if same else np.concatenate(shade[1:])
     top_l, top_r = len(left.levels) - 1, len(right.levels) - 1
     top = min(top_l, top_r)
     a, b = np.meshgrid(np.arange(len(left.levels[top][0])), np.arange(len(right.levels[top][0])), indexing="ij")
@@ -107,6 +115,9 @@ def linked(first: np.ndarray, distance: int, second: np.ndarray | None = None) -
         i, j = _children(a, b, LEAF, len(left.codes), len(right.codes))
         close = np.bitwise_count(left.codes[i] ^ right.codes[j]) <= distance
         i, j = place_l[i[close]], place_r[j[close]]
+        if shade is not None:
+            close = np.bitwise_count(shades[i] ^ shades[j]) <= shade[0]
+            i, j = i[close], j[close]
         apart = labels[i] != labels[j]
         if apart.any():
             labels = _settle(labels, i[apart], j[apart])
