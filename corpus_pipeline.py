@@ -1,17 +1,17 @@
 """A corpus pipeline over ``documents``: line rules, near-duplicates, repeated strings, packing.
 
 Every stage takes ``(spark, docs, sf_dir)`` and all rows its predecessor kept;
-all but the last return the columns of ``documents``.  The near-duplicate
-stage takes the shingles and distance of the fingerprint contract (four
-words, four bits).  SQL cannot express the suffix and packing stages; the
-tests compare each with a brute-force version.
+all but the last return the columns of ``documents``.  SQL cannot express
+the near-duplicate, suffix and packing stages; the tests compare each with a
+brute-force version.  Every stage takes null texts as empty, rows that repeat
+and columns of any name, and gives no rows for none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import packing, quality, simhash, suffix
+from tidewell.llm import near_copies, packing, quality, suffix
 from tidewell.llm.registered import settle, table, word_tokenizer
 from tidewell.sources.storage import cut_lineage
 
@@ -23,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8; the smallest id stays."""
     settle(spark)
-    return simhash.keep_one(docs, distance=4, words=4)
+    return near_copies.keep_one(docs, least=0.8, words=5)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
