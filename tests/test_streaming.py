@@ -289,6 +289,46 @@ def test_m6_a_release_reads_the_buckets_that_came_due(spark, lake, tmp_path):
     assert len(storage.children(spark, sent)) == 3  # a release of nothing publishes nothing
 
 
+def scanned(df):
+    """Rows and files that the scans of a plan read, from their metrics."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), {"rows": 0, "files": 0}
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if "Scan" in node.nodeName():
+            for name, key in (("rows", "numOutputRows"), ("files", "numFiles")):
+                metric = node.metrics().get(key)
+                found[name] += metric.get().value() if metric.isDefined() else 0
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_s20_j2_look_ups_skip_buckets_and_row_groups(spark, tmp_path, monkeypatch):
+    """A million ids in a snapshot: what is read for one, for a missing one, and for a hundred."""
+    monkeypatch.setattr("tidewell.sources.lake.ROW_GROUP", 1000)
+    lake = Lake(spark, str(tmp_path / "big"), MAIL, buckets=64).ensure()
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in MAIL.table_schema.fields if f.name not in ("mail_id", "event_version")]
+    ident = F.concat(F.lit("m"), F.col("id").cast("string")).alias("mail_id")
+    rows = spark.range(1_000_000).select(ident, F.lit(1).cast("bigint").alias("event_version"), *blank, F.lit("U").alias("op"))
+    lake.write_changes(rows, 0, "silver")
+    lake.write_changes(rows.where("mail_id < 'm2'"), 0, "gold")
+    lake.compact(0)
+    one = lake.state("silver", columns=["mail_id", "event_version"], entity_id="m77777")
+    assert one.count() == 1 and scanned(one)["rows"] <= 2000  # a row group of a thousand, not one of sixteen thousand
+    assert scanned(lake.state("silver", columns=["mail_id", "event_version"], entity_id="m77777x"))["rows"] <= 1000
+    few = spark.createDataFrame([(f"m{k}",) for k in (5, 50, 500)], "mail_id string")
+    some = lake.versions(ids=few)
+    assert some.count() == 3 and scanned(some)["rows"] < 3 * 20_000
+    hundred = spark.createDataFrame([(f"m{k * 9973}",) for k in range(100)], "mail_id string")
+    assert lake.versions(ids=hundred).count() == 100
+
+
 def test_state_of_some_ids_reads_only_those(spark, lake, key):
     step(spark, lake, key, 0, [event(c, 1) for c in "abcd"], {c: {} for c in "abcd"})
     lake.compact(0)

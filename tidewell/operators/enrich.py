@@ -16,10 +16,15 @@ BROADCAST_BYTES = 32 << 20
 _ROW_BYTES = 64
 
 
-def are_few(rows: DataFrame, id_field: str) -> bool:
-    """Whether an id column, with up to five numbers beside it, is small enough to broadcast."""
+def measure(rows: DataFrame, id_field: str) -> tuple[int, bool]:
+    """How many rows there are, and whether their ids, with up to five numbers beside each, are small enough to broadcast."""
     size = F.sum(F.coalesce(F.octet_length(F.col(id_field).cast("string")), F.lit(0)) + _ROW_BYTES)
-    return (rows.agg(size).first()[0] or 0) <= BROADCAST_BYTES
+    n, size = rows.agg(F.count("*"), size).first()
+    return n, (size or 0) <= BROADCAST_BYTES
+
+
+def are_few(rows: DataFrame, id_field: str) -> bool:
+    return measure(rows, id_field)[1]
 
 # Message prefixes.
 FETCH_FAILED = "fetch failed: "

@@ -27,6 +27,8 @@ from tidewell.sources.feed import as_feed
 
 SPAN = 4096
 BUCKETS = 64
+#: Rows of a row group of a snapshot, at most.
+ROW_GROUP = 100_000
 LAYERS = ("silver", "gold")
 _LONG = T.LongType()
 
@@ -106,7 +108,10 @@ class Lake:
             bucket = F.pmod(F.xxhash64(F.lit(entity_id)), F.lit(buckets))
             base = base.where((F.col("bucket") == bucket) & (F.col(ident) == F.lit(entity_id)))
         if ids is not None:
-            base = base.join(asked, ident, "left_semi")
+            # at most as many numbers as there are buckets; other buckets are not read
+            own = F.pmod(F.xxhash64(ident), F.lit(buckets))
+            asked_buckets = [r[0] for r in ids.toDF(ident).select(own).distinct().collect()]
+            base = base.where(F.col("bucket").isin(asked_buckets)).join(asked, ident, "left_semi")
         kept = base.select(ident, *rest).join(last.select(ident), ident, "left_anti")
         return kept.unionByName(last)
 
@@ -219,11 +224,14 @@ class Lake:
             if self.spec.delete_policy != "versioned":
                 rows = rows.where(F.col("op") == "U")
             where = self.path(layer, "snapshots", f"upto={upto}-buckets={self.buckets}")
+            # sorted by id and with filters of the ids, so that a look-up reads one row group at most
             (
                 rows.withColumn("bucket", F.pmod(F.xxhash64(ident), F.lit(self.buckets)))
                 .repartitionByRange("bucket", ident)
                 .sortWithinPartitions("bucket", ident)
                 .write.mode("overwrite")
+                .option(f"parquet.bloom.filter.enabled#{ident}", "true")
+                .option("parquet.block.row.count.limit", ROW_GROUP)
                 .partitionBy("bucket")
                 .parquet(where)
             )

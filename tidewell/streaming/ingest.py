@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewell.functions.envelope import FieldKey
 from tidewell.model import DomainSpec
 from tidewell.operators import outcomes
-from tidewell.operators.enrich import are_few
+from tidewell.operators.enrich import measure
 from tidewell.operators.redrive import to_messages
 from tidewell.plans.ingest import Outputs, judge, outputs_of, survivors
 from tidewell.sources.feed import TRIGGER_SECONDS, publish
@@ -80,31 +81,37 @@ def ingest_epoch(
     key: FieldKey,
     epoch: int,
     sinks: Mapping[str, Sink] | None = None,
-) -> Outputs:
-    """Run one epoch to the end: tables first, then dead letters, then notices.
+) -> Outputs | None:
+    """Run one epoch to the end: tables first, then dead letters and notices.  No messages, no epoch: None.
 
     State is read as of the epochs before this one, so a replay sees the same
     input and writes the same rows.  ``sinks`` says where the messages
-    ``ready`` and ``dlq`` go, if not to the lake's folders.
+    ``ready`` and ``dlq`` go, if not to the lake's folders; sinks may run side by side.
     """
     send = lake_sinks(lake) | dict(sinks or {})
     events = survivors(feed, spec).persist(StorageLevel.MEMORY_AND_DISK)
     settled = None
     try:
-        few = are_few(events, spec.id_field)
+        n, few = measure(events, spec.id_field)
+        if not n:
+            return None
         staged = lake.stage(judge(events, source, spec, key, few), "judged", epoch)
         asked = staged.where(F.col("row_id").isNotNull()).select("row_id") if few else None
         settled = outcomes.settle(staged, lake.versions(epoch, asked), spec, few=few)
         settled = settled.persist(StorageLevel.MEMORY_AND_DISK)
         out = outputs_of(settled, spec)
         changes = outcomes.changes(settled, spec)
-        for layer in ("silver", "gold"):
-            lake.write_changes(changes, epoch, layer)
-        lake.write_quarantine(out.quarantine, epoch)
+        # small writes wait for planning and commits rather than for cores
+        _side_by_side(
+            staged.sparkSession,
+            *(partial(lake.write_changes, changes, epoch, layer) for layer in ("silver", "gold")),
+            partial(lake.write_quarantine, out.quarantine, epoch),
+            partial(lake.write_metrics, out.metrics, epoch),
+        )
+        told = [partial(send["ready"], ready_messages(out.ready), epoch)]
         if spec.dlq_topic:
-            send["dlq"](to_messages(out.dead_letters), epoch)
-        send["ready"](ready_messages(out.ready), epoch)
-        lake.write_metrics(out.metrics, epoch)
+            told.append(partial(send["dlq"], to_messages(out.dead_letters), epoch))
+        _side_by_side(staged.sparkSession, *told)
         return out
     finally:
         events.unpersist()
@@ -112,6 +119,14 @@ def ingest_epoch(
             settled.unpersist()
 
 
+def _side_by_side(spark: SparkSession, *steps: Callable[[], object]) -> None:
+    """Run steps at once, each with the caller's job properties; the first failure is raised once all have ended."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        ran = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    for r in ran:
+        r.result()
+
+
 def once(feed: DataFrame, within: str, by: Sequence[str] = ("partition", "offset")) -> DataFrame:
     """M2/M8: each message of a stream once, also when it is delivered again some batches later.
 
