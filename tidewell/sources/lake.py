@@ -231,6 +231,7 @@ class Lake:
                 .sortWithinPartitions("bucket", ident)
                 .write.mode("overwrite")
                 .option(f"parquet.bloom.filter.enabled#{ident}", "true")
+                .option(f"parquet.bloom.filter.expected.ndv#{ident}", ROW_GROUP)
                 .option("parquet.block.row.count.limit", ROW_GROUP)
                 .partitionBy("bucket")
                 .parquet(where)
