@@ -86,7 +86,9 @@ def test_rows_that_repeat_ids(spark):
     assert near_copies.keep_one(df.where("false")).collect() == []
 
 
-def test_a_hot_group_of_distinct_near_copies(spark):
+@pytest.mark.parametrize("small", [2000, 100])
+def test_a_hot_group_of_distinct_near_copies(spark, monkeypatch, small):
+    monkeypatch.setattr(near_copies, "SMALL_TEXTS", small)
     rnd = random.Random(2)
     base, other = prose(rnd, 200), [prose(rnd, 50) for _ in range(40)]
     texts = [base] + [edited(rnd, base, 2) for _ in range(3000)] + other

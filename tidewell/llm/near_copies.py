@@ -9,7 +9,9 @@ What both fingerprints link is compared word by word.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,8 +27,10 @@ from tidewell.sources.storage import cut_lineage
 
 #: Bits in which the fingerprints of words, and of shingles, of near copies may differ.
 WORD_BITS, SHINGLE_BITS = 7, 16
-#: Texts of a group that others are held against at once, after the first round.
+#: Texts of a large group that others are held against at once, after the first round.
 LEADERS = 8
+#: Texts, and their bytes, of a group that one task compares by itself.
+SMALL_TEXTS, SMALL_BYTES = 2000, 32 << 20
 _SEED = 42
 
 
@@ -193,31 +197,64 @@ def _near(words: int, least: float):
     return run
 
 
+def _near_within(words: int, least: float):
+    """``t1, t2`` of the texts of one small component that are near an earlier text that stays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["unnamed"], r["doc_id"] or 0, r["k1"], r["k2"]))
+        holders: dict[bytes, list[int]] = {}
+        sizes: list[int] = []
+        gone = []
+        for r in rows:
+            mine = shingles(r["text"], words)
+            shared = Counter(k for s in mine for k in holders.get(s, ()))
+            if any(n >= least * (sizes[k] + len(mine) - n) for k, n in shared.items()):
+                gone.append((r["t1"], r["t2"]))
+                continue
+            for s in mine:
+                holders.setdefault(s, []).append(len(sizes))
+            sizes.append(len(mine))
+        columns = list(zip(*gone, strict=True)) or [(), ()]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("t1", "t2"), columns, strict=True)})
+
+    return run
+
+
 def _copies(candidates: DataFrame, words: int, least: float) -> DataFrame:
     """``t1, t2`` of the texts to drop among ``candidates(component, t1, t2, place, text)``.
 
-    In rounds: the first texts of each component lead, whatever is near a
-    leader that stays goes, the rest is a smaller component for the next round.
-    A component of any size is compared with few leaders at a time, never pair by pair.
+    In the order of their places a text goes if it is near an earlier one that
+    stays.  Small components are compared in one task each.  Of larger ones the first
+    texts lead: whatever is near a leader that stays goes, and the rest is a smaller component for the next
+    round, so a component of any size is never compared pair by pair.
     """
-    spark, dropped, leaders = candidates.sparkSession, None, 1
+    dropped, leaders = [], 1
     left = cut_lineage(candidates)
-    while not left.isEmpty():
+    while True:
+        size = (F.count("*").alias("m"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+        sizes = cut_lineage(left.groupBy("component").agg(*size).where("m > 1"))
+        small = (F.col("m") <= SMALL_TEXTS) & (F.col("bytes") <= SMALL_BYTES)
+        within = left.join(sizes.where(small), "component", "left_semi")
+        within = within.select("component", "t1", "t2", "place.*", "text").groupBy("component")
+        dropped.append(cut_lineage(within.applyInArrow(_near_within(words, least), "t1 long, t2 long")))
+        large = sizes.where(~small)
+        if large.isEmpty():
+            return reduce(DataFrame.union, dropped)
+        left = cut_lineage(left.join(large, "component", "left_semi"))
         entry = F.struct("place", "t1", "t2", "text")
-        first = left.groupBy("component").agg(F.min(entry).alias("x")).select("component", F.array("x").alias("leaders"))
-        if leaders > 1:
+        if leaders == 1:
+            first = left.groupBy("component").agg(F.min(entry).alias("x")).select("component", F.array("x").alias("leaders"))
+        else:
             # ranks are limited inside each map task, so no more than so many of a component move
             rank = F.row_number().over(Window.partitionBy("component").orderBy("place"))
-            chosen = left.select("component", "place", "t1", "t2").withColumn("rank", rank).drop("place").where(F.col("rank") <= leaders).drop("rank")
+            ranked = left.select("component", "place", "t1", "t2").withColumn("rank", rank)
+            chosen = ranked.where(F.col("rank") <= leaders).select("component", "t1", "t2")
             first = left.join(chosen, ["component", "t1", "t2"]).groupBy("component").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
         met = left.join(cut_lineage(first), "component")
         judged = cut_lineage(met.select("t1", "t2", "text", "leaders").mapInArrow(_near(words, least), "t1 long, t2 long, near boolean, leads boolean"))
-        gone = judged.where("near").select("t1", "t2")
-        dropped = gone if dropped is None else dropped.union(gone)
-        rest = left.join(judged.where("NOT near AND NOT leads").select("t1", "t2"), ["t1", "t2"], "left_semi")
-        several = rest.groupBy("component").agg(F.count("*").alias("m")).where("m > 1").select("component")
-        left, leaders = cut_lineage(rest.join(several, "component", "left_semi")), LEADERS
-    return dropped if dropped is not None else spark.createDataFrame([], "t1 long, t2 long")
+        dropped.append(judged.where("near").select("t1", "t2"))
+        left = cut_lineage(left.join(judged.where("NOT near AND NOT leads").select("t1", "t2"), ["t1", "t2"], "left_semi"))
+        leaders = LEADERS
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
