@@ -120,9 +120,16 @@ def ingest_epoch(
 
 
 def _side_by_side(spark: SparkSession, *steps: Callable[[], object]) -> None:
-    """Run steps at once, each with the caller's job properties; the first failure is raised once all have ended."""
+    """Run steps at once, each with the caller's session and job properties; a failure is raised once all have ended."""
+    session = SparkSession._get_j_spark_session_class(spark._jvm)
+
+    def run(step: Callable[[], object]) -> None:
+        # a thread of the engine begins without a session of its own
+        session.setActiveSession(spark._jsparkSession)
+        step()
+
     with ThreadPoolExecutor(len(steps)) as pool:
-        ran = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        ran = [pool.submit(inheritable_thread_target(spark)(partial(run, step))) for step in steps]
     for r in ran:
         r.result()
 
