@@ -4,6 +4,7 @@ import json
 
 import pytest
 from helpers import feed, source, versions
+from pyspark.sql import functions as F
 
 from tidewell.domains.mail import MAIL
 from tidewell.operators import enrich
@@ -105,3 +106,21 @@ def test_cut_lineage_tables_can_be_dropped(spark):
     assert storage.children(spark, where)
     storage.drop_tables(spark)
     assert not storage.exists(spark, where)
+
+
+def test_messages_of_one_row_group_are_parsed_by_many_tasks(spark):
+    events = Q.feed(spark, DATA).where("timestamp >= '2024-01-12'")
+    text = events._jdf.queryExecution().optimizedPlan().toString()
+    above, below = text.split("RepartitionByExpression", 1)
+    assert "StructsToJson" in above and "Filter" not in above and "Filter" in below
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which puts so few rows together again
+    try:
+        sizes = [r["count"] for r in events.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
+def test_latest_sorts_by_the_id_first(spark):
+    text = plan(survivors(feed(spark, ["{}"]), MAIL))
+    assert "Sort [mail_id" in text and "Sort [_alone" not in text

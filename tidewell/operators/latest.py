@@ -20,8 +20,9 @@ def latest_per_key(events: DataFrame, spec: DomainSpec, by: tuple[str, ...] = ()
 
     An aggregate rather than a ranking window: each map task sends at most one
     row per key, so a key holding a third of the feed costs no more than any other.
+    Its rows are sorted by key, and only the first key is compared by its leading bytes; so the id comes first.
     """
-    keys = [*by, spec.id_field]
+    keys = [spec.id_field, *by]
     rest = [c for c in events.columns if c not in keys]
     best = F.max_by(F.struct(*rest), order_key())
     return (

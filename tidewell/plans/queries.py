@@ -77,8 +77,13 @@ def _as_contract(events: DataFrame, value: Column) -> DataFrame:
     )
 
 
+def spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events dealt out anew: they are a few large row groups, and building and parsing a message is far dearer than its row."""
+    return table(spark, sf_dir, "events").repartition("event_id")
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_contract(table(spark, sf_dir, "events"), _event_body())
+    return _as_contract(spread_events(spark, sf_dir), _event_body())
 
 
 def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +103,7 @@ def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 8, F.concat(F.lit('{"mail_id":"'), ident, F.lit('","version":3.7,"occurred_at":"2025"}')))
         .otherwise(good)
     )
-    events = table(spark, sf_dir, "events")
+    events = spread_events(spark, sf_dir)
     return _as_contract(bind(bind(events, "number", number_in_props()), "good", _event_body()), value)
 
 
