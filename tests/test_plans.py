@@ -124,3 +124,16 @@ def test_messages_of_one_row_group_are_parsed_by_many_tasks(spark):
 def test_latest_sorts_by_the_id_first(spark):
     text = plan(survivors(feed(spark, ["{}"]), MAIL))
     assert "Sort [mail_id" in text and "Sort [_alone" not in text
+
+
+@pytest.mark.parametrize("name", ["tagged_docs", "mime_docs", "deep_mime_docs", "refine_docs", "refine_pages"])
+def test_texts_of_one_row_group_are_cleaned_by_many_tasks(spark, name):
+    rows = Q.QUERIES[name](spark, DATA)
+    below = rows._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1]
+    assert "regexp_replace" not in below and "base64" not in below and "concat" not in below
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which puts so few rows together again
+    try:
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 4

@@ -77,13 +77,13 @@ def _as_contract(events: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events dealt out anew: they are a few large row groups, and building and parsing a message is far dearer than its row."""
-    return table(spark, sf_dir, "events").repartition("event_id")
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt out anew by its key: it is a few large row groups, and what is done to a row is far dearer than moving it."""
+    return table(spark, sf_dir, name).repartition(key)
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_contract(spread_events(spark, sf_dir), _event_body())
+    return _as_contract(spread(spark, sf_dir, "events", "event_id"), _event_body())
 
 
 def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def damaged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 8, F.concat(F.lit('{"mail_id":"'), ident, F.lit('","version":3.7,"occurred_at":"2025"}')))
         .otherwise(good)
     )
-    events = spread_events(spark, sf_dir)
+    events = spread(spark, sf_dir, "events", "event_id")
     return _as_contract(bind(bind(events, "number", number_in_props()), "good", _event_body()), value)
 
 
@@ -229,7 +229,7 @@ def validate_reasons(spark, sf_dir):
 
 
 def refine_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(spark, sf_dir, "pages", "page_id").select("page_id", "url", "html")
     return X.refine(pages, ["html"]).withColumnRenamed("html", "plain")
 
 
@@ -244,14 +244,14 @@ def _refined_md5(docs: DataFrame, wrapped: Column) -> DataFrame:
 
 def tagged_docs(spark, sf_dir):
     """Documents as pages: a quoted ">", a script, and a reference that was escaped twice."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     head, tail = '<html><body><p title="a>b">', "</p> <script>if (a < b) { }</script><!-- c --> <b>&amp;lt;</b>&#169;</body></html>"
     return _refined_md5(docs, F.concat(F.lit(head), _escaped(F.col("text")), F.lit(tail)))
 
 
 def mime_docs(spark, sf_dir):
     """Documents as mails: the language decides the form; every form holds the same text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "lang")
     packed = F.base64(F.col("text").cast("binary"))
     plain = lambda body: F.concat(F.lit("Content-Type: text/plain; charset=utf-8\n\n"), body)
     page = F.concat(F.lit("Content-Type: text/html\n\n<p>"), _escaped(F.col("text")), F.lit("</p>"))
@@ -276,7 +276,7 @@ def deep_mime_docs(spark, sf_dir):
     Texts are cut to ASCII, which all those character sets share, and greet in
     the language of the set.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
     docs = docs.select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"), "lang")
 
     def part(kind: str, charset: str, greeting: str) -> Column:
@@ -310,7 +310,7 @@ def whitespace_docs(spark, sf_dir):
 
 
 def refine_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     out = X.refine(docs, ["text"])
     return out.select("doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
