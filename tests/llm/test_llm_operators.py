@@ -388,6 +388,34 @@ def test_short_passages_of_many_words_are_removed(spark):
     assert passage not in got[0] + got[1] and got[2] == " end" and got[4] == texts[4] and "xxx" not in got[6]
 
 
+def test_the_query_reports_short_passages_beside_its_contract(spark, tmp_path):
+    passages = [prose(40 + k, 51 + k) for k in range(6)]
+    texts = [f"{prose(50 + k, 30 + k)}\n{passages[k % 6]} {prose(70 + k, 40 + k)}" for k in range(12)]
+    texts += [prose(100 + k, 90) for k in range(6)] + [f"{passages[0]} {passages[0]}x", " \t" + prose(7, 51) + "\n", prose(8, 50), prose(9, 120), None]
+    data = [*enumerate(texts), *[(k, texts[k]) for k in (19, 20, 21)], (90, texts[21] + " end"), (91, prose(9, 120)[:250])]
+    spark.createDataFrame(data, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registered.op7_suffix_dedup(spark, str(tmp_path))
+    contract = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    assert rows(got.select(contract)) == plain_digest([(i, (t or "").encode()) for i, t in data], 400)
+    assert max(map(len, passages)) < 400
+    free = without_repeats([t or "" for _, t in data], 400, 51)
+    assert rows(got.select("doc_id", "passage_free")) == sorted(((i, t) for (i, _), t in zip(data, free, strict=True)), key=repr)
+    found = {r.doc_id: (r.n_passages, r.passage_bytes) for r in got.collect()}
+    assert [found[k] for k in range(12)] == [(1, len(passages[k % 6].encode())) for k in range(12)]
+    assert {found[k] for k in (*range(12, 18), 20, 22, 91)} == {(0, 0)} and found[19] == (1, len(prose(7, 51).encode()))
+
+
+@pytest.mark.parametrize("words", [3, 8])
+def test_passages_of_mixed_contexts(spark, words):
+    rnd = random.Random(words)
+    data = [" ".join(rnd.choice(["a", "b", "c", "é"]) for _ in range(rnd.randrange(60))) + rnd.choice(["", " ", "\n\n"]) for _ in range(40)]
+    base = prose(3, 300).split()
+    data += [" ".join(base[:k] + ["Z"] + base[k + 1 :]) for k in range(0, 300, 17)] + ["  ".join(base[9:60])] + [data[0]] * 2
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.passage_free for r in suffix.digest(df, 400, words).collect()}
+    assert [got[k] for k in range(len(data))] == without_repeats(data, 400, words)
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     monkeypatch.setattr(anchors, "AT_ONCE", 64)
     text = prose(8, 200).encode()

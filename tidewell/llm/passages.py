@@ -1,8 +1,9 @@
 """Exact search for passages of many words that occur twice or more.
 
 Every window of ``words`` words has one content-defined anchor, so equal
-windows have equal anchors.  Only windows whose anchor is shared are hashed
-and counted, so what is shuffled grows with the repeated part of the text.
+windows have equal anchors.  The windows that share an anchor at one place are
+its context.  Contexts that are equal as a whole need counting only; of an
+anchor's contexts that differ, one of each kind has its windows hashed and counted.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def _bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _anchors(data: bytes, words: int) -> Iterator[tuple[int, int, int]]:
-    """Runs of neighbouring windows with one anchor: first window, number of windows, hash."""
+def passage_runs(data: bytes, words: int) -> Iterator[tuple[int, int, int]]:
+    """Runs of neighbouring windows with one anchor: first byte, end, hash."""
     starts, ends = _bounds(data)
     width = min(GRAM_WORDS, words)
     for at in range(0, len(starts) - words + 1, _AT_ONCE):
@@ -44,43 +45,41 @@ def _anchors(data: bytes, words: int) -> Iterator[tuple[int, int, int]]:
         place = (_PLACES - (sliding_min(keys, words - width + 1) & _PLACES)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         n = np.diff(np.append(first, len(place)))
-        yield from zip((first + at).tolist(), n.tolist(), hashes[place[first]].view(np.int64).tolist(), strict=True)
+        last = first + n - 2 + words
+        yield from zip(a[first].tolist(), b[last].tolist(), hashes[place[first]].view(np.int64).tolist(), strict=True)
 
 
-def _mapped(frame: DataFrame, rows_of, fields: str) -> DataFrame:
-    """Rows ``(k1, k2, *rest)`` for each row of ``frame(k1, k2, text, ...)``."""
-    schema = pa.schema([(f.split()[0], pa.int64()) for f in fields.split(", ")])
+_WINDOWS = "w1 long, w2 long, c1 long, c2 long, low int, high int, alone boolean"
+
+
+def _windows(words: int):
+    """One row per window; rows are ``c1, c2, body, alone``."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in _WINDOWS.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                k1, k2, text, *more = (column[k].as_py() for column in batch.columns)
-                columns = list(zip(*rows_of((text or "").encode(), *more), strict=True)) or [[]] * (len(schema) - 2)
-                arrays = [pa.array(c, pa.int64()) for c in ([k1] * len(columns[0]), [k2] * len(columns[0]), *columns)]
+            for at in range(0, batch.num_rows, 500):
+                rows = []
+                for c1, c2, body, alone in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                    starts, ends = _bounds(body)
+                    for low, high in zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True):
+                        value = xxhash.xxh3_128_intdigest(body[low:high])
+                        rows.append(((value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63), c1, c2, low, high, alone))
+                arrays = [pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return frame.mapInArrow(run, fields)
+    return run
 
 
-def _windows(data: bytes, runs: list[dict], words: int) -> Iterator[tuple[int, int, int, int]]:
-    starts, ends = _bounds(data)
-    for run in runs:
-        for k in range(run["first"], run["first"] + run["n"]):
-            a, b = int(starts[k]), int(ends[k + words - 1])
-            value = xxhash.xxh3_128_intdigest(data[a:b])
-            yield (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63), a, b
-
-
-def passage_spans(docs: DataFrame, words: int) -> DataFrame:
-    """``k1, k2, spans`` of ``docs(k1, k2, text)``: bytes of the strings of ``words`` words that start elsewhere too."""
-    found = _mapped(docs, lambda data: _anchors(data, words), "k1 long, k2 long, first long, n long, anchor long")
-    found = cut_lineage(found)
-    shared = found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    asked = found.join(cut_lineage(shared), "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
-    hashed = docs.join(cut_lineage(asked), ["k1", "k2"]).select("k1", "k2", "text", "runs")
-    hashed = cut_lineage(
-        _mapped(hashed, lambda data, runs: _windows(data, runs, words), "k1 long, k2 long, w1 long, w2 long, start long, end long")
-    )
+def passage_marks(bodies: DataFrame, words: int) -> DataFrame:
+    """``c1, c2, low, high``: bytes of the strings of ``words`` words in ``bodies(c1, c2, copies, body)`` that start elsewhere too.
+
+    ``c1, c2`` name bodies, one row each; ``copies`` is how often a body occurs.
+    """
+    whole = bodies.where("copies > 1").select("c1", "c2", F.lit(0).alias("low"), F.length("body").alias("high"))
+    hashed = bodies.select("c1", "c2", "body", (F.col("copies") == 1).alias("alone")).mapInArrow(_windows(words), _WINDOWS)
+    hashed = cut_lineage(hashed)
     twice = hashed.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
-    marks = hashed.join(cut_lineage(twice), ["w1", "w2"])
-    return marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    marks = hashed.where("alone").join(cut_lineage(twice), ["w1", "w2"])
+    return whole.union(marks.select("c1", "c2", "low", "high"))

@@ -9,6 +9,9 @@ start anywhere else.  Contexts of anchors with very many different ones are
 cut into parts, whose windows all hold one core; the core is the finer anchor,
 and parts are treated like contexts.  Should a core be crowded too, its windows
 are counted by hash, which can be summed before the shuffle.
+
+Passages of many words, which may be shorter than the window, have anchors and
+contexts of their own and take the same way; see ``passages``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.anchors import anchor_runs, segments
 from tidewell.llm.columns import only
-from tidewell.llm.passages import passage_spans
+from tidewell.llm.passages import passage_marks, passage_runs
 from tidewell.llm.runindex import RunIndex
 from tidewell.sources.storage import cut_lineage
 
@@ -35,11 +38,14 @@ INDEX_BYTES = 1 << 18
 #: Windows of a part of a context of a crowded anchor.
 PART_WINDOWS = 23
 
-_ANCHORS = "k1 long, k2 long, start int, n int, lead int, anchor long, c1 long, c2 long"
+#: Seed of the digests of passages' contexts; those of windows' contexts are seeded by less than a window.
+_PASSAGE = 1 << 32
+
+_ANCHORS = "k1 long, k2 long, start int, size int, lead int, anchor long, c1 long, c2 long, words boolean"
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
@@ -56,9 +62,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.coalesce("doc_id", F.lit(0)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"))
 
 
-def _find_anchors(window: int):
+def _find_anchors(window: int, words: int | None):
+    """Contexts of the windows, and of the passages if asked for; rows are ``k1, k2, text``."""
     schema = _arrow(_ANCHORS)
 
+    def found(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch[c].to_numpy(zero_copy_only=False) for c in (0, 1))
@@ -70,9 +80,13 @@ def _find_anchors(window: int):
                     _digest(data[a:b], s) for a, b, s in zip(first.tolist(), ends.tolist(), seeds.tolist(), strict=True)
                 ]
                 c = np.array(pairs, np.int64).reshape(-1, 2)
-                columns = (k1[which[first]], k2[which[first]], offset[first], n, seeds, anchor.view(np.int64), c[:, 0], c[:, 1])
-                arrays = [pa.array(x).cast(f.type) for x, f in zip(columns, schema, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                keys, plain = which[first], np.zeros(len(first), bool)
+                yield found((k1[keys], k2[keys], offset[first], n - 1 + window, seeds, anchor.view(np.int64), c[:, 0], c[:, 1], plain))
+            for number, text in enumerate(texts if words is not None else ()):
+                runs = [(a, b - a, 0, anchor, *_digest(text[a:b], _PASSAGE)) for a, b, anchor in passage_runs(text, words)]
+                if runs:
+                    passages = np.array(runs, np.int64).T
+                    yield found((np.full(len(runs), k1[number]), np.full(len(runs), k2[number]), *passages, np.ones(len(runs), bool)))
 
     return run
 
@@ -206,40 +220,46 @@ def _marks(bodies: DataFrame, window: int, beyond) -> DataFrame:
     return marks.union(beyond(mixed.where(F.col("m") > MOST_CONTEXTS), window))
 
 
-def _bodies(docs: DataFrame, mixed: DataFrame, window: int) -> DataFrame:
-    """One context of each kind, cut out of a document that holds it: ``anchor, c1, c2, copies, lead, body``."""
+def _bodies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """One context of each kind, cut out of a document that holds it: ``anchor, c1, c2, copies, lead, words, body``."""
     contexts = mixed.groupBy("anchor", "c1", "c2").agg(
-        F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "start", "n", "lead"))
+        F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "start", "size", "lead", "words"))
     )
-    kinds = F.struct("anchor", "c1", "c2", "copies", "start", "n", "lead")
+    kinds = F.struct("anchor", "c1", "c2", "copies", "start", "size", "lead", "words")
     asked = contexts.groupBy("k1", "k2").agg(F.collect_list(kinds).alias("asked"))
     data = F.col("text").cast("binary")
     cut = F.transform(
         "asked",
         lambda x: F.struct(
-            *(x[c] for c in ("anchor", "c1", "c2", "copies", "lead")),
-            F.substring(data, x["start"] + 1, x["n"] + (window - 1)).alias("body"),
+            *(x[c] for c in ("anchor", "c1", "c2", "copies", "lead", "words")),
+            F.substring(data, x["start"] + 1, x["size"]).alias("body"),
         ),
     )
-    found = docs.join(asked, ["k1", "k2"]).select(F.inline(cut).alias("anchor", "c1", "c2", "copies", "lead", "body"))
+    found = docs.join(asked, ["k1", "k2"]).select(F.inline(cut).alias("anchor", "c1", "c2", "copies", "lead", "words", "body"))
     return cut_lineage(found)
 
 
-def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
-    """``k1, k2, spans``: the byte ranges covered by repeated windows, for rows that have any; ranges may overlap."""
-    found = docs.select("k1", "k2", "text").mapInArrow(_find_anchors(window), _ANCHORS)
+def repeated_spans(docs: DataFrame, window: int, words: int | None = None) -> DataFrame:
+    """``k1, k2, spans``: the byte ranges covered by repeated windows, for rows that have any; ranges may overlap.
+
+    With ``words``, those of strings of so many words too; their ranges say so in ``words``.
+    """
+    found = docs.select("k1", "k2", "text").mapInArrow(_find_anchors(window, words), _ANCHORS)
     found = cut_lineage(found)
     differ = (F.min("c1") < F.max("c1")) | (F.min("c2") < F.max("c2"))
     shared = found.groupBy("anchor").agg(F.count("*").alias("m"), differ.alias("mixed")).where("m > 1").drop("m")
     # written first, so that the join can split an anchor that a third of all rows have
     shared = cut_lineage(found.join(cut_lineage(shared), "anchor"))
-    plain = shared.where("NOT mixed").select("k1", "k2", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"))
+    plain = shared.where("NOT mixed").select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("end"), "words")
     mixed = shared.where("mixed")
-    marks = cut_lineage(_marks(_bodies(docs, mixed, window), window, _by_part).distinct())
-    partly = mixed.join(marks, ["c1", "c2"]).select(
-        "k1", "k2", F.col("start") + F.col("low"), F.col("start") + F.col("high") - 1 + window
+    bodies = _bodies(docs, mixed)
+    marks = _marks(bodies.where("NOT words"), window, _by_part).withColumn("high", F.col("high") - 1 + window)
+    if words is not None:
+        marks = marks.union(passage_marks(bodies.where("words"), words))
+    partly = mixed.join(cut_lineage(marks.distinct()), ["c1", "c2"]).select(
+        "k1", "k2", F.col("start") + F.col("low"), F.col("start") + F.col("high"), "words"
     )
-    return plain.union(partly).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return plain.union(partly).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "words")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -273,26 +293,35 @@ def _once_each(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(again, ["k1", "k2"], "left_anti").union(copies), copies
 
 
+def _whole(copies: DataFrame, window: int, words: int | None) -> DataFrame:
+    """``k1, k2, spans`` of texts that occur again: they go as a whole, as a passage from the first word to the last."""
+    n_bytes = F.octet_length("text")
+
+    def span(start, end, passage):
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(passage).alias("words"))
+
+    spans = [F.when(n_bytes >= window, span(F.lit(0), n_bytes, False))]
+    if words is not None:
+        blank = F.lit(" \t\n\x0b\f\r")
+        start, end = n_bytes - F.octet_length(F.ltrim("text", blank)), F.octet_length(F.rtrim("text", blank))
+        n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+        spans.append(F.when(n_words >= words, span(start, end, True)))
+    return copies.select("k1", "k2", F.array_compact(F.array(*spans)).alias("spans")).where(F.size("spans") > 0)
+
+
 def _with_spans(docs: DataFrame, window: int, words: int | None = None) -> DataFrame:
     keyed = _keyed(docs)
     once, copies = _once_each(keyed)
-    # a text that occurs again goes as a whole
-    n_bytes = F.octet_length("text")
-    whole = copies.where(n_bytes >= window).select(
-        "k1", "k2", F.array(F.struct(F.lit(0).alias("start"), n_bytes.alias("end"))).alias("spans")
-    )
-    spans = repeated_spans(once, window).join(whole, ["k1", "k2"], "left_anti").union(whole)
-    if words is not None:
-        long = F.transform("spans", lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
-        both = spans.select("k1", "k2", long.alias("spans")).union(passage_spans(keyed.select("k1", "k2", "text"), words))
-        spans = both.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = _whole(copies, window, words)
+    spans = repeated_spans(once, window, words).join(whole, ["k1", "k2"], "left_anti").union(whole)
     return keyed.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+_PASSAGES = ", n_passages long, passage_bytes long, passage_free string"
 
 
-def digest(docs: DataFrame, window: int = 400) -> DataFrame:
+def digest(docs: DataFrame, window: int = 400, words: int | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, text`` per row of ``docs(doc_id, text)``.
 
     A byte goes if a string of ``window`` bytes that covers it also starts
@@ -301,8 +330,12 @@ def digest(docs: DataFrame, window: int = 400) -> DataFrame:
     shorter than the window are kept; repeated rows remove each other, however many there are; rows
     with null ids are rows like any other; other columns are not read.  ``text`` is what is left, less the
     rest of characters that were cut in two.
+
+    With ``words``, three columns follow: runs and bytes of the strings of so many words that start anywhere
+    else, however short they are, and the text without these and without what ``text`` lacks.
     """
-    schema = _arrow(_DIGEST)
+    fields = _DIGEST + ("" if words is None else _PASSAGES)
+    schema = _arrow(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,14 +343,18 @@ def digest(docs: DataFrame, window: int = 400) -> DataFrame:
             texts = batch[1].cast(pa.binary())
             for doc_id, text, spans in zip(batch[0].to_pylist(), texts, batch[2].to_pylist(), strict=True):
                 data = text.as_py() or b""
-                runs = merged([(s["start"], s["end"]) for s in spans or ()])
+                runs = merged([(s["start"], s["end"]) for s in spans or () if not s["words"]])
                 kept = cut_out(data, runs)
-                rows.append((doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+                row = [doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")]
+                if words is not None:
+                    passages = merged([(s["start"], s["end"]) for s in spans or () if s["words"]])
+                    row += [len(passages), sum(b - a for a, b in passages), cut_out(data, merged(runs + passages)).decode(errors="ignore")]
+                rows.append(row)
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
-    rows = _with_spans(only(docs, "doc_id", "text"), window)
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, _DIGEST)
+    rows = _with_spans(only(docs, "doc_id", "text"), window, words)
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, fields)
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, words: int | None = None) -> DataFrame:
