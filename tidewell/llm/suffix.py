@@ -29,7 +29,7 @@ from tidewell.llm.anchors import anchor_runs, segments
 from tidewell.llm.columns import only
 from tidewell.llm.passages import passage_marks, passage_runs
 from tidewell.llm.runindex import RunIndex
-from tidewell.sources.storage import cut_lineage
+from tidewell.sources.storage import cut_lineage, drop_table
 
 #: Different contexts of one anchor that an index takes; beyond, windows are counted by hash.
 MOST_CONTEXTS = 2048
@@ -65,6 +65,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _find_anchors(window: int, words: int | None):
     """Contexts of the windows, and of the passages if asked for; rows are ``k1, k2, text``."""
     schema = _arrow(_ANCHORS)
+    digest = xxhash.xxh3_128_digest
+
+    def names(digests: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
 
     def found(columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
@@ -76,17 +80,13 @@ def _find_anchors(window: int, words: int | None):
             for data, which, offset, valid in segments(texts, window):
                 first, n, place, anchor = anchor_runs(data, valid, window)
                 ends, seeds = first + n - 1 + window, place - first
-                pairs = [
-                    _digest(data[a:b], s) for a, b, s in zip(first.tolist(), ends.tolist(), seeds.tolist(), strict=True)
-                ]
-                c = np.array(pairs, np.int64).reshape(-1, 2)
+                c = names([digest(data[a:b], s) for a, b, s in zip(first.tolist(), ends.tolist(), seeds.tolist(), strict=True)])
                 keys, plain = which[first], np.zeros(len(first), bool)
                 yield found((k1[keys], k2[keys], offset[first], n - 1 + window, seeds, anchor.view(np.int64), c[:, 0], c[:, 1], plain))
-            for number, text in enumerate(texts if words is not None else ()):
-                runs = [(a, b - a, 0, anchor, *_digest(text[a:b], _PASSAGE)) for a, b, anchor in passage_runs(text, words)]
-                if runs:
-                    passages = np.array(runs, np.int64).T
-                    yield found((np.full(len(runs), k1[number]), np.full(len(runs), k2[number]), *passages, np.ones(len(runs), bool)))
+            for data, begin, end, number, start, anchor in passage_runs(texts, words) if words is not None else ():
+                c = names([digest(data[a:b], _PASSAGE) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+                flat, passage = np.zeros(len(begin), np.int64), np.ones(len(begin), bool)
+                yield found((k1[number], k2[number], start, end - begin, flat, anchor.view(np.int64), c[:, 0], c[:, 1], passage))
 
     return run
 
@@ -250,13 +250,16 @@ def repeated_spans(docs: DataFrame, window: int, words: int | None = None) -> Da
     shared = found.groupBy("anchor").agg(F.count("*").alias("m"), differ.alias("mixed")).where("m > 1").drop("m")
     # written first, so that the join can split an anchor that a third of all rows have
     shared = cut_lineage(found.join(cut_lineage(shared), "anchor"))
+    drop_table(found)
     plain = shared.where("NOT mixed").select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("end"), "words")
     mixed = shared.where("mixed")
     bodies = _bodies(docs, mixed)
     marks = _marks(bodies.where("NOT words"), window, _by_part).withColumn("high", F.col("high") - 1 + window)
     if words is not None:
         marks = marks.union(passage_marks(bodies.where("words"), words))
-    partly = mixed.join(cut_lineage(marks.distinct()), ["c1", "c2"]).select(
+    marks = cut_lineage(marks.distinct())
+    drop_table(bodies)
+    partly = mixed.join(marks, ["c1", "c2"]).select(
         "k1", "k2", F.col("start") + F.col("low"), F.col("start") + F.col("high"), "words"
     )
     return plain.union(partly).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "words")).alias("spans"))
@@ -281,6 +284,17 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
+def _lists(spans: pa.ListArray) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """Spans of windows and of passages, for each row."""
+    offsets = spans.offsets.to_pylist()
+    starts, ends, words = (spans.values.field(name).to_pylist() for name in ("start", "end", "words"))
+    for low, high in zip(offsets, offsets[1:], strict=False):
+        kinds: tuple[list, list] = ([], [])
+        for k in range(low, high):
+            kinds[words[k]].append((starts[k], ends[k]))
+        yield kinds
+
+
 def _once_each(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One of each kind of equal rows, and those of them that occur again (``k1, k2, text``).
 
@@ -341,14 +355,16 @@ def digest(docs: DataFrame, window: int = 400, words: int | None = None) -> Data
         for batch in batches:
             rows = []
             texts = batch[1].cast(pa.binary())
-            for doc_id, text, spans in zip(batch[0].to_pylist(), texts, batch[2].to_pylist(), strict=True):
+            for doc_id, text, (spans, found) in zip(batch[0].to_pylist(), texts, _lists(batch[2]), strict=True):
                 data = text.as_py() or b""
-                runs = merged([(s["start"], s["end"]) for s in spans or () if not s["words"]])
+                runs = merged(spans)
                 kept = cut_out(data, runs)
-                row = [doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")]
+                left = kept.decode(errors="ignore")
+                row = [doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), left]
                 if words is not None:
-                    passages = merged([(s["start"], s["end"]) for s in spans or () if s["words"]])
-                    row += [len(passages), sum(b - a for a, b in passages), cut_out(data, merged(runs + passages)).decode(errors="ignore")]
+                    passages = merged(found)
+                    both = cut_out(data, merged(runs + passages)).decode(errors="ignore") if passages else left
+                    row += [len(passages), sum(b - a for a, b in passages), both]
                 rows.append(row)
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)

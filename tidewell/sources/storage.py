@@ -78,7 +78,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     where = f"{_own_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    table = df.sparkSession.read.schema(df.schema).parquet(where)
+    table._tidewell_table = where
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Remove what one ``cut_lineage`` wrote, given the frame it returned, once no frame will read it again."""
+    path, fs = _path(table.sparkSession, table._tidewell_table)
+    fs.delete(path, True)
 
 
 def resolve_checkpoint(
