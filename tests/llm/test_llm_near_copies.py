@@ -108,3 +108,45 @@ def test_tables_miss_no_pair_within_the_distance(n):
             b ^= 1 << bit
         key = lambda code, t: [(code >> low) & ((1 << size) - 1) for low, size in t]
         assert any(key(a, t) == key(b, t) for t in tables)
+
+
+def first_come(texts, leaders=0):
+    sets, gone = [shingles(t, 5) for t in texts], []
+    for k, mine in enumerate(sets):
+        against = range(leaders) if leaders else (j for j in range(k) if not gone[j])
+        gone.append(k >= leaders and any(similarity(mine, sets[j]) >= 0.8 for j in against))
+    return gone
+
+
+@pytest.mark.parametrize("columns", [4096, 3])
+@pytest.mark.parametrize("leaders", [0, 1, 50])
+def test_texts_of_one_task_against_brute_force(monkeypatch, columns, leaders):
+    monkeypatch.setattr(near_copies, "_COLUMNS", columns)
+    texts = list(dict.fromkeys(" ".join((t or "").lower().split()) for t in corpus()))
+    random.Random(3).shuffle(texts)
+    assert near_copies._late(texts, 5, 0.8, leaders).tolist() == first_come(texts, leaders)
+    assert sum(first_come(texts)) > 100
+
+
+@pytest.mark.parametrize("leaders, size, most", [(None, None, 12), (70, 40_000, 60)])
+def test_a_large_group_of_texts_that_stay_takes_few_rounds(spark, monkeypatch, leaders, size, most):
+    monkeypatch.setattr(near_copies, "SMALL_TEXTS", 100)
+    if leaders:
+        monkeypatch.setattr(near_copies, "LEADERS", leaders)
+    if size:
+        monkeypatch.setattr(near_copies, "LEADER_BYTES", size)
+    written, cut = [], near_copies.cut_lineage
+    monkeypatch.setattr(near_copies, "cut_lineage", lambda df: written.append(1) or cut(df))
+    rnd = random.Random(8)
+    base = prose(rnd, 150)
+    texts = [edited(rnd, base, 20) for _ in range(200)]
+    texts += [edited(rnd, rnd.choice(texts), 2) for _ in range(100)]
+    rnd.shuffle(texts)
+    ids = [k if k < 290 else None for k in range(300)]
+    rows = [("c", k % 7, k, (ids[k] is None, ids[k], k, 0), t) for k, t in enumerate(texts)]
+    rows += [("d", 7, k, (False, k, k, 0), t) for k, t in enumerate([base, edited(rnd, base, 1), prose(rnd, 60)])]
+    kind = "component string, t1 long, t2 long, place struct<unnamed:boolean, doc_id:long, k1:long, k2:long>, text string"
+    got = {tuple(r) for r in near_copies._copies(spark.createDataFrame(rows, kind).repartition(3), 5, 0.8).collect()}
+    want = {(k % 7, k) for k, late in enumerate(first_come(texts)) if late}
+    assert 50 < len(want) < 150 and got == want | {(7, 1)}
+    assert len(written) <= most  # three or so in each round

@@ -9,7 +9,6 @@ What both fingerprints link is compared word by word.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -27,10 +26,13 @@ from tidewell.sources.storage import cut_lineage
 
 #: Bits in which the fingerprints of words, and of shingles, of near copies may differ.
 WORD_BITS, SHINGLE_BITS = 7, 16
-#: Texts of a large group that others are held against at once, after the first round.
-LEADERS = 8
 #: Texts, and their bytes, of a group that one task compares by itself.
 SMALL_TEXTS, SMALL_BYTES = 2000, 32 << 20
+#: First texts of a larger group, and their bytes, that the others are held against in one round.  Spark limits ranks
+#: inside map tasks up to 1,000 only.
+LEADERS, LEADER_BYTES = 1000, 8 << 20
+#: Texts compared at once, and shingles at most that many texts hold and that are counted by products of matrices.
+_ROWS, _COLUMNS = 256, 4096
 _SEED = 42
 
 
@@ -173,49 +175,97 @@ def links(codes: DataFrame, distance: int = WORD_BITS, shade_distance: int = SHI
     return found.select(_node("a", "sa").alias("a"), _node("b", "sb").alias("b")).distinct()
 
 
-def _near(words: int, least: float):
-    """``t1, t2, near`` for rows ``t1, t2, text, leaders``: whether a text is near a leader that stays, and other than it."""
-    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("near", pa.bool_()), ("leads", pa.bool_())])
+def _numbered(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, shingle)`` for the distinct shingles of each text, sorted; equal shingles have one number."""
+    numbers: dict[bytes, int] = {}
+    spelled = []
+    for text in texts:
+        ids = [numbers.setdefault(w, len(numbers) + 1) for w in _words((text or "").encode())]
+        spelled.append(np.array(ids + [0] * (words - len(ids)) if ids else ids, np.int64))  # zeros end a short text's one shingle
+    lengths = np.array([len(x) for x in spelled], np.int64)
+    flat = np.concatenate([*spelled, np.zeros(words, np.int64)])
+    shingle = flat[: len(flat) - words]
+    for k in range(1, words):
+        shingle = np.unique(shingle * (len(numbers) + 1) + flat[k : len(flat) - words + k], return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    inside = place + words <= lengths[owner]
+    many = int(shingle.max(initial=0)) + 1
+    return np.divmod(np.unique(owner[inside] * many + shingle[inside]), many)
+
+
+class _Shared:
+    """How many shingles texts share.  Frequent ones are counted by products of matrices, the others by who holds them."""
+
+    def __init__(self, texts: list[str | None], words: int):
+        owner, shingle = _numbered(texts, words)
+        n = len(texts)
+        held = np.bincount(shingle, minlength=1)
+        often = np.flatnonzero(held > max(1, n // 32))
+        often = often[np.argsort(-held[often], kind="stable")][:_COLUMNS]
+        column = np.full(len(held), -1)
+        column[often] = np.arange(len(often))
+        frequent, rare = column[shingle] >= 0, (column[shingle] < 0) & (held[shingle] > 1)
+        self.sizes = np.bincount(owner, minlength=n)
+        self.table = np.zeros((n, len(often)), np.float32)  # counts below 2^24 are exact
+        self.table[owner[frequent], column[shingle[frequent]]] = 1
+        owner, self.rare = owner[rare], shingle[rare]
+        self.starts = np.searchsorted(owner, np.arange(n + 1))
+        self.holders = owner[np.argsort(self.rare, kind="stable")]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(self.rare, minlength=len(held)))])
+
+    def rarely(self, k: int) -> np.ndarray:
+        """Rare shingles of text ``k`` that each text holds."""
+        mine = self.rare[self.starts[k] : self.starts[k + 1]]
+        lows, counts = self.bounds[mine], self.bounds[mine + 1] - self.bounds[mine]
+        at = np.repeat(lows - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.bincount(self.holders[at], minlength=len(self.sizes))
+
+    def near(self, k: int, others: np.ndarray, frequent: np.ndarray, rarely: np.ndarray, least: float) -> bool:
+        both = frequent + rarely[others]
+        return bool((both >= least * (self.sizes[k] + self.sizes[others] - both)).any())
+
+
+def _late(texts: list[str | None], words: int, least: float, leaders: int = 0) -> np.ndarray:
+    """Whether each text is near an earlier one that stays; given ``leaders``, the first so many stay and only they count."""
+    shared, gone = _Shared(texts, words), np.zeros(len(texts), bool)
+    for low in range(leaders, len(texts), _ROWS):
+        rows = shared.table[low : low + _ROWS]
+        before = np.flatnonzero(~gone[: leaders or low])
+        met = rows @ shared.table[before].T
+        beside = None if leaders else rows @ rows.T
+        for k in range(low, low + len(rows)):
+            rarely = shared.rarely(k)
+            gone[k] = shared.near(k, before, met[k - low], rarely, least)
+            if beside is not None and not gone[k]:
+                staying = np.flatnonzero(~gone[low:k])
+                gone[k] = shared.near(k, low + staying, beside[k - low, staying], rarely, least)
+    return gone
+
+
+def _named(table: pa.Table, gone: np.ndarray) -> pa.Table:
+    return table.select(["t1", "t2"]).filter(pa.array(gone))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, before, staying = [], None, []
-            for t1, t2, text, leaders in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names = [(x["t1"], x["t2"]) for x in leaders]
-                if names != before:  # rows of a group mostly come together
-                    before, staying = names, []
-                    for x in leaders:
-                        mine = shingles(x["text"], words)
-                        if all(similarity(mine, s) < least for _, s in staying):
-                            staying.append(((x["t1"], x["t2"]), mine))
-                leads = (t1, t2) in {name for name, _ in staying}
-                own = set() if leads else shingles(text, words)
-                rows.append((t1, t2, not leads and any(similarity(own, s) >= least for _, s in staying), leads))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+def _near_within(words: int, least: float):
+    """``t1, t2`` of the texts of one small component that are near an earlier text that stays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = table.select(["unnamed", "doc_id", "k1", "k2"]).to_pylist()
+        order = sorted(range(len(keys)), key=lambda i: (keys[i]["unnamed"], keys[i]["doc_id"] or 0, keys[i]["k1"], keys[i]["k2"]))
+        table = table.take(order)
+        return _named(table, _late(table["text"].to_pylist(), words, least))
 
     return run
 
 
-def _near_within(words: int, least: float):
-    """``t1, t2`` of the texts of one small component that are near an earlier text that stays."""
+def _near_leaders(words: int, least: float):
+    """``t1, t2`` of one part's texts that are near a leader; all leaders stay."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["unnamed"], r["doc_id"] or 0, r["k1"], r["k2"]))
-        holders: dict[bytes, list[int]] = {}
-        sizes: list[int] = []
-        gone = []
-        for r in rows:
-            mine = shingles(r["text"], words)
-            shared = Counter(k for s in mine for k in holders.get(s, ()))
-            if any(n >= least * (sizes[k] + len(mine) - n) for k, n in shared.items()):
-                gone.append((r["t1"], r["t2"]))
-                continue
-            for s in mine:
-                holders.setdefault(s, []).append(len(sizes))
-            sizes.append(len(mine))
-        columns = list(zip(*gone, strict=True)) or [(), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("t1", "t2"), columns, strict=True)})
+        table = table.sort_by([("leads", "descending")])
+        leaders = int(np.sum(table["leads"].to_numpy()))
+        return _named(table, _late(table["text"].to_pylist(), words, least, leaders) if leaders else np.zeros(len(table), bool))
 
     return run
 
@@ -225,36 +275,40 @@ def _copies(candidates: DataFrame, words: int, least: float) -> DataFrame:
 
     In the order of their places a text goes if it is near an earlier one that
     stays.  Small components are compared in one task each.  Of larger ones the first
-    texts lead: whatever is near a leader that stays goes, and the rest is a smaller component for the next
-    round, so a component of any size is never compared pair by pair.
+    texts lead: one task finds those that stay, the rest is dealt out in parts and held against them, and what
+    is near none is a smaller component for the next round.
     """
-    dropped, leaders = [], 1
+    dropped = []
     left = cut_lineage(candidates)
+    pair = ["t1", "t2"]
+    near = lambda texts: cut_lineage(
+        texts.select("component", "t1", "t2", "place.*", "text").groupBy("component").applyInArrow(_near_within(words, least), "t1 long, t2 long")
+    )
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     while True:
-        size = (F.count("*").alias("m"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
-        sizes = cut_lineage(left.groupBy("component").agg(*size).where("m > 1"))
+        sizes = cut_lineage(left.groupBy("component").agg(F.count("*").alias("m"), F.sum(length).alias("bytes")).where("m > 1"))
         small = (F.col("m") <= SMALL_TEXTS) & (F.col("bytes") <= SMALL_BYTES)
-        within = left.join(sizes.where(small), "component", "left_semi")
-        within = within.select("component", "t1", "t2", "place.*", "text").groupBy("component")
-        dropped.append(cut_lineage(within.applyInArrow(_near_within(words, least), "t1 long, t2 long")))
+        dropped.append(near(left.join(sizes.where(small), "component", "left_semi")))
         large = sizes.where(~small)
         if large.isEmpty():
             return reduce(DataFrame.union, dropped)
         left = cut_lineage(left.join(large, "component", "left_semi"))
-        entry = F.struct("place", "t1", "t2", "text")
-        if leaders == 1:
-            first = left.groupBy("component").agg(F.min(entry).alias("x")).select("component", F.array("x").alias("leaders"))
-        else:
-            # ranks are limited inside each map task, so no more than so many of a component move
-            rank = F.row_number().over(Window.partitionBy("component").orderBy("place"))
-            ranked = left.select("component", "place", "t1", "t2").withColumn("rank", rank)
-            chosen = ranked.where(F.col("rank") <= leaders).select("component", "t1", "t2")
-            first = left.join(chosen, ["component", "t1", "t2"]).groupBy("component").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
-        met = left.join(cut_lineage(first), "component")
-        judged = cut_lineage(met.select("t1", "t2", "text", "leaders").mapInArrow(_near(words, least), "t1 long, t2 long, near boolean, leads boolean"))
-        dropped.append(judged.where("near").select("t1", "t2"))
-        left = cut_lineage(left.join(judged.where("NOT near AND NOT leads").select("t1", "t2"), ["t1", "t2"], "left_semi"))
-        leaders = LEADERS
+        # ranks are limited inside each map task, so no more than so many of a component move
+        rank = F.row_number().over(Window.partitionBy("component").orderBy("place"))
+        ranked = left.select("component", "place", "t1", "t2", length.alias("bytes")).withColumn("rank", rank).where(F.col("rank") <= LEADERS)
+        ahead = F.sum("bytes").over(Window.partitionBy("component").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+        chosen = ranked.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < LEADER_BYTES)
+        first = cut_lineage(left.join(chosen.select(*pair), pair, "left_semi"))
+        dropped.append(near(first))
+        others = left.join(first.select(*pair), pair, "left_anti")
+        parts = F.ceil(F.greatest(F.col("m") / SMALL_TEXTS, F.col("bytes") / LEADER_BYTES)).cast("long")
+        parted = large.select("component", parts.alias("parts"))
+        part = F.pmod(F.xxhash64(*pair), F.col("parts"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        leading = first.join(dropped[-1], pair, "left_anti").join(parted, "component").select("component", every.alias("part"), F.lit(True).alias("leads"), *pair, "text")
+        dealt = others.join(parted, "component").select("component", part.alias("part"), F.lit(False).alias("leads"), *pair, "text").union(leading)
+        dropped.append(cut_lineage(dealt.groupBy("component", "part").applyInArrow(_near_leaders(words, least), "t1 long, t2 long")))
+        left = cut_lineage(others.join(dropped[-1], pair, "left_anti"))
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
